@@ -1,5 +1,5 @@
 """The query modules of the subpackage."""
 
-from failscope.llm import bpe
+from failscope.llm import bpe, residue
 
-MODULES = [bpe]
+MODULES = [bpe, residue]
