@@ -1,5 +1,5 @@
 """The query modules of the subpackage."""
 
-from failscope.llm import bpe, residue
+from failscope.llm import bpe, leakage, residue
 
-MODULES = [bpe, residue]
+MODULES = [bpe, leakage, residue]
