@@ -26,10 +26,10 @@ def messages(documents: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def fold_py(s: str) -> str:
-    """Lower case with the letters that character recognition mixes up made one."""
-    return s.lower().replace("’", "'").replace("rn", "m").translate(str.maketrans("ci10", "ello"))
+    """Lower case with the letters that character recognition mixes up made one (chained replacing is much faster than translate)."""
+    return s.lower().replace("rn", "m").replace("’", "'").replace("c", "e").replace("i", "l").replace("1", "l").replace("0", "o")
 
 
 def fold(col):
     """fold_py as a column."""
-    return F.translate(F.replace(F.replace(F.lower(col), F.lit("’"), F.lit("'")), F.lit("rn"), F.lit("m")), "ci10", "ello")
+    return F.translate(F.replace(F.lower(col), F.lit("rn"), F.lit("m")), "’ci10", "'ello")
