@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from failscope.llm.subtitles import fold_py
 from failscope.session import require, table
 
 WINDOW, RADIUS, SIMILARITY = 12, 4, 0.8
@@ -41,12 +42,9 @@ _CLEAN = re.compile(
 )
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u00ad][ \t\r]*[\n|][\s|]*(?=[^\W\d_])")  # a word broken over lines or cues
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_FOLD = str.maketrans({"c": "e", "i": "l", "1": "l", "|": " ", "0": "o", "’": "'", "­": None})
-
-
 def words(text: str) -> list[str]:
     """The spoken words of a subtitle file, or the words of an item, with confusable letters made one."""
-    return _WORD.findall(_HYPHEN.sub("", _CLEAN.sub(" ", text)).lower().translate(_FOLD).replace("rn", "m"))
+    return _WORD.findall(fold_py(_HYPHEN.sub("", _CLEAN.sub(" ", text)).replace("\u00ad", "").replace("|", " ")))
 
 
 _vectors: dict[str, np.ndarray] = {}
