@@ -1,5 +1,5 @@
 """The query modules of the subpackage."""
 
-from failscope.llm import bpe, leakage, residue
+from failscope.llm import bpe, consensus, grouped_split, leakage, pairs, residue, splits_overlap, truncation
 
-MODULES = [bpe, leakage, residue]
+MODULES = [pairs, truncation, consensus, splits_overlap, grouped_split, bpe, leakage, residue]
