@@ -143,7 +143,7 @@ def embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (classifier_scores, cross_domain, tfidf_top_terms, embedding_neighbours)}
 SQL = {
     "tfidf_top_terms": r"""with l as (select * from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) rn_ from triage_labels) where rn_ = 1 and llm_1_rationale is not null),
-    w as (select trace_id, unnest(list_filter(string_split_regex(lower(llm_1_rationale), '\W+'), x -> length(x) >= 2)) term from l), c as (select trace_id, term, count(*) tf from w group by 1, 2), n as (select count(*) n from l),
+    w as (select trace_id, unnest(list_filter(string_split_regex(lower(llm_1_rationale), '\W+'), lambda x: length(x) >= 2)) term from l), c as (select trace_id, term, count(*) tf from w group by 1, 2), n as (select count(*) n from l),
     v as (select term, ln((1.0::double + n) / (1.0::double + count(*))) + 1 idf from c, n group by term, n having count(*) >= 2 and count(*) <= 0.95 * n),
     x as (select trace_id, term, (1 + ln(tf)) * idf w from c join v using (term)), y as (select *, sqrt(sum(w * w) over (partition by trace_id)) nm from x), z as (select trace_id, term, round(w / nm, 6) weight from y)
     select trace_id, term, weight from (select *, row_number() over (partition by trace_id order by weight desc, term) k from z) where k = 1""",
