@@ -5,7 +5,8 @@ Dirichlet confusion matrices, and an annotator's own matrix is drawn around its
 variational updates alternate items' label posteriors, community memberships, community
 matrices and annotators' matrices, so that an annotator with few labels keeps close to its
 community. Annotators who copy each other are not independent: for each pair the rate of copying
-is estimated from how often both give the same wrong label, and a copied vote counts once.
+is estimated from how often both give the same wrong label, and a copied vote counts once. (Copying
+annotators who outvote all careful ones can't be told from them by any model without known labels.)
 
 Scale: items with equal votes have equal posteriors, so the items are aggregated to distinct vote
 patterns first (map-side combine). Of A annotators and L labels there are at most (L + 1)^A

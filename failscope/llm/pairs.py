@@ -92,8 +92,7 @@ def tiled(answer: list[str], statement: list[str], least: int = 3) -> list[bool]
     """Greedy string tiling: which tokens of the answer lie in tiles of `least` or more tokens that the statement also has.
 
     The longest common run is marked first, then the longest among what is left, until none is
-    long enough; single tokens between tiles count when they are a misspelt form (equal letters)
-    of what stands there in the statement.
+    long enough; a tile goes on over words that are misspelt forms of what stands there in the statement.
     """
     marked_a, marked_s = [False] * len(answer), [False] * len(statement)
     places: dict[str, list[int]] = {}
@@ -117,12 +116,11 @@ def tiled(answer: list[str], statement: list[str], least: int = 3) -> list[bool]
         i, j = best_at
         for k in range(best):
             marked_a[i + k] = marked_s[j + k] = True
-        n = i + best
-        m = j + best
-        if n < len(answer) and m < len(statement) and not marked_a[n] and not marked_s[m] and _misspelt(answer[n], statement[m]):
-            marked_a[n] = marked_s[m] = True
-        if i and j and not marked_a[i - 1] and not marked_s[j - 1] and _misspelt(answer[i - 1], statement[j - 1]):
-            marked_a[i - 1] = marked_s[j - 1] = True
+        # a misspelt word doesn't end a tile: it goes on in both directions, over words that are equal or misspelt
+        for step, n, m in ((1, i + best, j + best), (-1, i - 1, j - 1)):
+            while 0 <= n < len(answer) and 0 <= m < len(statement) and not marked_a[n] and not marked_s[m] and (answer[n] == statement[m] or _misspelt(answer[n], statement[m])):
+                marked_a[n] = marked_s[m] = True
+                n, m = n + step, m + step
 
 
 def _misspelt(a: str, b: str) -> bool:
