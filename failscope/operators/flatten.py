@@ -191,7 +191,7 @@ def triage_labels(docs: DataFrame) -> DataFrame:
     """Failed traces; those with a successful repair are labelled by it, the rest need a label."""
     repaired = (_num_repairs() > 0).cast("int")
     out = _failed(docs).select(
-        "trace_id", "run_id", "problem_id", "benchmark", "domain", "is_ablation", "ablation_type", F.when(repaired == 1, "LOCAL_REPAIR").alias("action_label"), F.when(repaired == 1, "causalflow").alias("label_source"),
+        "trace_id", "run_id", "problem_id", "benchmark", "domain", "is_ablation", "ablation_type", F.when(repaired == 1, "LOCAL_REPAIR").alias("action_label"), F.when(repaired == 1, "repair").alias("label_source"),
         repaired.alias("is_auto_labeled"), (1 - repaired).alias("needs_labeling"), repaired.alias("is_local_repairable"), _num_repairs().alias("num_successful_repair_steps"), "source_file", "ordinal", "pos",
     )
     later = ("llm_1_action", "llm_1_rationale", "llm_2_action", "llm_2_rationale", "human_action", "human_rationale", "split")  # filled by labelling

@@ -32,19 +32,34 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataF
     return df.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rk") <= n)
 
 
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """df with k (rank in the group, from 1), n (rows of the group) and cum_<c> for each column of `sums`, in a total order.
+
+    Rows are range-partitioned by group and order, so a hot group spreads over many tasks; each task
+    ranks and sums its own stretch, and the totals of earlier stretches (one row a partition and group) are added.
+    Rows with a null group take no part.
+    """
+    placed = checkpointed(df.repartitionByRange(*group, *order).withColumn("pid_", F.spark_partition_id()))
+    part = placed.groupBy(*group, "pid_").agg(F.count(F.lit(1)).alias("c_"), *[F.sum(c).alias(f"s_{c}") for c in sums])
+    earlier = Window.partitionBy(*group).orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(*group, "pid_", F.coalesce(F.sum("c_").over(earlier), F.lit(0)).alias("o_"), F.sum("c_").over(Window.partitionBy(*group)).alias("n"), *[F.coalesce(F.sum(f"s_{c}").over(earlier), F.lit(0)).alias(f"o_{c}") for c in sums])
+    local = Window.partitionBy("pid_", *group).orderBy(*order)
+    run = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.select("*", F.row_number().over(local).alias("k_"), *[F.sum(c).over(run).alias(f"r_{c}") for c in sums]).join(offsets, [*group, "pid_"])
+    return out.select(*df.columns, (F.col("o_") + F.col("k_")).cast("bigint").alias("k"), "n", *[(F.col(f"o_{c}") + F.col(f"r_{c}")).alias(f"cum_{c}") for c in sums])
+
+
 def running_curve(df: DataFrame, group: list[str], cost: str, gain: str, tie: str, points: int = 50) -> DataFrame:
     """Running cost and gain of each group in order of cost, thinned to every k-th point and the last."""
-    order = Window.partitionBy(*group).orderBy(cost, tie)
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.select(*group, F.row_number().over(order).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("n"), F.sum(cost).over(run).alias("cum_cost"), F.sum(gain).over(run).alias("cum_gain"))
+    out = prefix_sums(df.select(*group, cost, gain, tie), group, [cost, tie], [cost, gain])
     every = F.greatest(F.lit(1), F.floor(F.col("n") / points))
-    return out.filter((F.pmod(F.col("k") - 1, every) == 0) | (F.col("k") == F.col("n")))
+    thin = out.filter((F.pmod(F.col("k") - 1, every) == 0) | (F.col("k") == F.col("n")))
+    return thin.select(*group, "k", "n", F.col(f"cum_{cost}").alias("cum_cost"), F.col(f"cum_{gain}").alias("cum_gain"))
 
 
 def budget_regime(df: DataFrame, group: list[str], cost: str, gain: str, tie: str, budgets: list[float]) -> DataFrame:
     """For each group and budget: how much gain the cheapest rows within the budget bring (costs are not negative)."""
-    run = Window.partitionBy(*group).orderBy(cost, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = df.select(*group, F.sum(cost).over(run).alias("cum_cost"), F.col(gain))
+    cum = prefix_sums(df.select(*group, cost, gain, tie), group, [cost, tie], [cost]).withColumnRenamed(f"cum_{cost}", "cum_cost")
     # each row is explained by the smallest budget that holds it; budgets beyond take it in by a running sum over the few budgets
     grid = F.array(*[F.lit(float(b)) for b in sorted(budgets)])
     first = F.array_min(F.filter(grid, lambda b: b >= F.col("cum_cost")))
@@ -79,9 +94,9 @@ def hash_rank(group: list[str], key: str, seed: int = 42):
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, rare: int = 10, share: float = 0.1) -> DataFrame:
     """Train, dev and test per label: labels with fewer than three rows all train, fewer than `rare` one test and one dev, else a share each."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
     held = F.greatest(F.lit(1), F.bround(F.col("n") * share))
-    out = df.withColumn("n", n).withColumn("rk", hash_rank([label], key, seed))
+    hashed = df.withColumn("h_", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))))
+    out = prefix_sums(hashed, [label], ["h_", key], []).withColumnRenamed("k", "rk").drop("h_")
     split = (
         F.when(F.col("n") < 3, "train")
         .when((F.col("n") < rare) & (F.col("rk") == F.col("n")), "test").when((F.col("n") < rare) & (F.col("rk") == F.col("n") - 1), "dev").when(F.col("n") < rare, "train")
