@@ -127,6 +127,66 @@ def open_stack(text: str) -> bool:
     return bool(stack) or bool(quote)
 
 
+_OPENS, _CLOSES = "([{“„«", {")": "(", "]": "[", "}": "{", "”": "“„", "“": "„", "»": "«"}
+
+
+def open_prose(text: str) -> bool:
+    """A quotation or bracket is open at the end of the last line of a text; closing signs without an opening one don't count."""
+    stack: list[str] = []
+    line = text.rstrip().rpartition("\n")[2]
+    for i, c in enumerate(line):
+        before = line[i - 1 : i]
+        if c == '"':
+            if '"' in stack:
+                del stack[stack.index('"') :]
+            elif not before.isalnum():  # else inches, or the end of a quotation of an earlier line
+                stack.append(c)
+        elif c in _CLOSES and stack and stack[-1] in _CLOSES[c]:
+            stack.pop()
+        elif c in _OPENS and not (c == "(" and before in (":", ";", "-")):
+            stack.append(c)
+    return bool(stack)
+
+
+_INFLECTION = re.compile(r"(?<=\w{2})(?:ings?|ers?|e[sd]|ly|[sdnr])$")
+
+
+def word_forms(masked: str) -> set[str]:
+    """The words of a masked fragment in lower case, and what is left of them without an ending of inflection."""
+    ws = {w.lower() for w in re.findall(r"[^\W\d_]+", masked) if w != "X"}
+    return ws | {_INFLECTION.sub("", w) for w in ws} | {_INFLECTION.sub("e", w) for w in ws}
+
+
+#: words of a tail's end that are looked for inside complete fragments
+END_WORDS = 4
+
+
+_CITED = re.compile(r"“[^“”]*”|\"[^\"]*\"")
+_END_START = re.compile(rf"(?<=[\w,;:–—][ ])(?:{_STARTS})$")
+
+
+def end_name(tail: str) -> tuple[str, str | None]:
+    """(the tail, its last name). A function word with a capital at the very end of a sentence is no start: it is a name or a part of one."""
+    t = tail.rstrip()
+    m = _END_START.search(t)
+    if m is None or m.group() == "I":
+        return t, last_name(t)
+    return t[: m.start()] + "Xx", m.group() if len(m.group()) > 1 else None
+
+
+def end_window(masked: str) -> str | None:
+    """The last END_WORDS words of a longer masked tail, a quotation being one word; the last may be a part of a word."""
+    ws = bare(_CITED.sub("Q", masked)).split(" ")
+    return " ".join(ws[-END_WORDS:]) if len(ws) > END_WORDS else None
+
+
+def windows(masked: str) -> list[str]:
+    """All runs of END_WORDS + 1 words of a complete fragment. Where a fragment or a clause ends, the run ends too: what stands there may be an end."""
+    ws = bare(_CITED.sub("Q", masked)).split(" ")
+    out = [" ".join(ws[p : p + END_WORDS + 1]) for p in range(len(ws))]
+    return out + [bare(" ".join(ws[max(0, p - END_WORDS + 1) : p + 1])) for p in range(len(ws)) if ws[p][-1:] in ",;:–—)”»"]
+
+
 _SCHEMA = "kind string, pid int, s string"
 
 

@@ -3,8 +3,10 @@
 Each value is read by the grammar it is written in. JSON, literals and code are scanned by a pushdown
 automaton: an open bracket or string at the end means that the end is lost. Prose, alone or as a text
 value inside tool output, is split into fragments; the unterminated last one goes into the sorted
-prefix search of `fragments`: it was cut when it is a strict prefix of a longer, complete copy of
-such a fragment elsewhere. Marks of cutting count by themselves.
+prefix search of `fragments`. It was cut when it is a strict prefix of a longer, complete copy of
+such a fragment elsewhere, when its last words go on inside complete fragments and end none, or when
+its last word is only a part of known words. Open quotations and brackets, words after which nothing
+ends, and marks of cutting count by themselves.
 
 Text values inside tool output are searched only under keys that hold prose, which is a statistic
 over all values: keys under which few values end like sentences (titles, addresses, names) are not.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm.fragments import bare, cut_mark, dangling, fragments, last_name, mask, names, open_stack, strict_prefixes
+from failscope.llm.fragments import bare, cut_mark, dangling, end_name, end_window, fragments, mask, names, open_prose, open_stack, strict_prefixes, windows, word_forms
 from failscope.session import checkpointed, require, table
 
 #: share of a key's values that must end like sentences for the key to hold prose
@@ -32,7 +34,7 @@ PROSE_SHARE = 0.5
 LEAST_WORDS = 4
 
 _CODE = re.compile(r"^\s*(?:def |class |return |for |if |import |from \w+ import )|\blambda\b|\w+\s*=\s*\S|^\s{4}\S", re.M)
-_SCHEMA = "kind string, step_uid string, field string, path string, s string, last_name string, dangles boolean, n bigint, n_ended bigint"
+_SCHEMA = "kind string, step_uid string, field string, path string, s string, last_name string, word string, win string, dangles boolean, n bigint, n_ended bigint"
 
 
 def _leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
@@ -63,7 +65,11 @@ class _Out:
         self.bank: set[str] = set()
         self.sent: set[str] = set()
         self.names: set[str] = set()
+        self.words: set[str] = set()
+        self.windows: set[str] = set()
         self.sent_names: set[str] = set()
+        self.sent_words: set[str] = set()
+        self.sent_windows: set[str] = set()
         self.ended: dict[str, list[int]] = {}
 
     def prose(self, uid: str, field: str, path: str, text: str) -> None:
@@ -71,29 +77,40 @@ class _Out:
             return
         whole, tail = fragments(text)
         marked = cut_mark(text)
+        ended = tail is None
+        if ended and text.rstrip().endswith(("...", "…")):  # an ellipsis may end a sentence or stand where one was cut
+            tail = whole.pop().rstrip().rstrip(".…")
         for f in whole[:-1] if marked else whole:
-            m = bare(mask(f))
-            if m not in self.sent:
+            masked = mask(f)
+            m = bare(masked)
+            if m not in self.sent and m not in self.bank:
                 self.bank.add(m)
+                self.words |= word_forms(m)
+                self.windows.update(windows(masked))
             for name in names(f):
                 if name not in self.sent_names:
                     self.names.add(name)
         count = self.ended.setdefault(path, [0, 0])
         count[0] += 1
-        count[1] += tail is None
-        if marked:
-            self.rows.append(("cut", uid, field, path, "", None, False, 0, 0))
-        elif tail is not None and len(text.split()) >= LEAST_WORDS:
-            m = bare(mask(tail))
-            if m:
-                self.rows.append(("tail", uid, field, path, m, last_name(tail), dangling(tail), 0, 0))
+        count[1] += ended
+        if marked or tail is not None and len(text.split()) > 1 and open_prose(text):
+            self.rows.append(("cut", uid, field, path, "", None, None, None, False, 0, 0))
+        elif tail is not None:
+            tail, name = end_name(tail)
+            masked = mask(tail)
+            m = bare(masked)
+            if not m:
+                return
+            before, _, last = m.rpartition(" ")
+            self.words |= word_forms(before)
+            if len(text.split()) >= LEAST_WORDS:
+                word = last if last.isalpha() and last.islower() and len(last) > 2 and tail.rstrip()[-1:].isalpha() else None
+                self.rows.append(("tail", uid, field, path, m, name, word, end_window(masked), dangling(tail), 0, 0))
 
     def text(self, uid: str, field: str, text: str) -> None:
         if _CODE.search(text) and open_stack(text):
-            self.rows.append(("cut", uid, field, "", "", None, False, 0, 0))
-        elif _CODE.search(text) and not cut_mark(text):
-            return
-        else:
+            self.rows.append(("cut", uid, field, "", "", None, None, None, False, 0, 0))
+        elif not (_CODE.search(text) and not cut_mark(text)):
             self.prose(uid, field, "", text)
 
     def output(self, uid: str, field: str, s: str) -> None:
@@ -103,7 +120,7 @@ class _Out:
         v = _load(t)
         if v is None and t != "null":
             if cut_mark(t) or (t[0] in "{[\"" and open_stack(t)):
-                self.rows.append(("cut", uid, field, "", "", None, False, 0, 0))
+                self.rows.append(("cut", uid, field, "", "", None, None, None, False, 0, 0))
             elif t[0] not in "{[":
                 self.prose(uid, field, "", t)
             return
@@ -116,19 +133,21 @@ class _Out:
             x = x.strip()
             if x[:1] in ("{", "[") and _load(x) is None:
                 if cut_mark(x) or open_stack(x):
-                    self.rows.append(("cut", uid, field, path, "", None, False, 0, 0))
+                    self.rows.append(("cut", uid, field, path, "", None, None, None, False, 0, 0))
             elif x[:1] not in ("{", "["):
                 self.prose(uid, field, path or ".", x)
 
     def flush(self) -> pa.RecordBatch:
-        rows = self.rows + [("bank", None, None, None, s, None, False, 0, 0) for s in self.bank] + [("name", None, None, None, s, None, False, 0, 0) for s in self.names]
-        rows += [("path", None, None, p, None, None, False, n, e) for p, (n, e) in self.ended.items()]
-        self.sent |= self.bank
-        self.sent_names |= self.names
-        if len(self.sent) + len(self.sent_names) > 500_000:
-            self.sent, self.sent_names = set(), set()
-        self.rows, self.bank, self.names, self.ended = [], set(), set(), {}
-        kinds = [pa.string()] * 6 + [pa.bool_()] + [pa.int64()] * 2
+        rows = list(self.rows)
+        for kind, known in (("bank", self.bank), ("name", self.names), ("word", self.words - self.sent_words), ("window", self.windows - self.sent_windows)):
+            rows += [(kind, None, None, None, s, None, None, None, False, 0, 0) for s in known]
+        rows += [("path", None, None, p, None, None, None, None, False, n, e) for p, (n, e) in self.ended.items()]
+        for sent, new in ((self.sent, self.bank), (self.sent_names, self.names), (self.sent_words, self.words), (self.sent_windows, self.windows)):
+            sent |= new
+            if len(sent) > 500_000:
+                sent.clear()
+        self.rows, self.bank, self.names, self.words, self.windows, self.ended = [], set(), set(), set(), set(), {}
+        kinds = [pa.string()] * 8 + [pa.bool_()] + [pa.int64()] * 2
         columns = [x.split()[0] for x in _SCHEMA.split(", ")]
         values = list(zip(*rows)) if rows else [[]] * len(columns)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(values, kinds)], names=columns)
@@ -153,18 +172,23 @@ def cut_values(steps: DataFrame) -> DataFrame:
     whole texts are read.
     """
     scanned = checkpointed(require(steps, "step_uid", "text", "tool_output_json").mapInArrow(_scan, _SCHEMA))
-    prose = scanned.filter("kind = 'path'").groupBy("path").agg((F.sum("n_ended") >= PROSE_SHARE * F.sum("n")).alias("prose")).filter("prose").select("path")
     tails = scanned.filter("kind = 'tail'")
-    tails = tails.filter("path = ''").unionByName(tails.filter("path <> ''").join(prose, "path", "left_semi"))
-    bank = scanned.filter("kind = 'bank'").select("s")
-    cut = strict_prefixes(tails.select("s"), bank)
-    by_prefix = tails.join(cut, "s", "left_semi").select("step_uid", "field")
-    # a tail that is complete but for its last name: the name is a strict prefix of a longer one elsewhere
-    cut_names = strict_prefixes(tails.select(F.col("last_name").alias("s")), scanned.filter("kind = 'name'").select("s"))
-    by_name = tails.join(cut_names.select(F.col("s").alias("last_name")), "last_name", "left_semi").select("step_uid", "field")
-    dangles = tails.filter("dangles").join(bank.distinct(), "s", "left_anti").select("step_uid", "field")
+    # one sorted search for fragments, names, words and windows, kept apart by their first letter
+    sought = {"bank": "s", "name": "last_name", "word": "word", "window": "win"}
+    tagged = {k: F.concat(F.lit(f"{k[0] if k != 'window' else 'v'} "), F.col(c)) for k, c in sought.items()}
+    ends = tails.select(F.explode(F.array(*tagged.values())).alias("s")).filter("s is not null").distinct()
+    known = scanned.filter(F.col("kind").isin(*sought)).select(F.concat(F.when(F.col("kind") == "window", "v").otherwise(F.left("kind", F.lit(1))), F.lit(" "), F.col("s")).alias("s"))
+    cut = checkpointed(strict_prefixes(ends, known))
+    hit = lambda k: tails.withColumn("t", tagged[k]).join(cut.select(F.col("s").alias("t")), "t", "left_semi")
+    dangles = tails.filter("dangles").join(scanned.filter("kind = 'bank'").select("s").distinct(), "s", "left_anti")
+    at = ["step_uid", "field", "path"]
+    shown = checkpointed(hit("name").select(*at).unionByName(hit("word").select(*at)).unionByName(dangles.select(*at)))
+    counts = scanned.filter("kind = 'path'").groupBy("path").agg(F.sum("n").alias("n"), F.sum("n_ended").alias("n_ended"))
+    is_prose = (F.col("path") == "") | (F.col("n_ended") >= PROSE_SHARE * F.col("n"))
+    prose = counts.filter(is_prose).select("path")
+    by_place = hit("bank").select(*at).unionByName(hit("window").select(*at))
     sure = scanned.filter("kind = 'cut'").select("step_uid", "field")
-    return sure.unionByName(by_prefix).unionByName(by_name).unionByName(dangles).distinct()
+    return sure.unionByName(shown.unionByName(by_place).join(prose, "path", "left_semi").select("step_uid", "field")).distinct()
 
 
 def cut_shares(steps: DataFrame, traces: DataFrame, found: DataFrame) -> DataFrame:

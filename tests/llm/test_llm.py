@@ -90,6 +90,30 @@ def test_truncation_frame(spark):
     assert truncation.cut_values(df.limit(0)).count() == 0
 
 
+def _cut(spark, rows):
+    df = spark.createDataFrame(rows, "step_uid string, text string, tool_output_json string")
+    return {r.step_uid for r in truncation.cut_values(df).collect()}
+
+
+KNOWN = [
+    "Let me check whether the wagon is the same as the “amber clock” named earlier.", "I assume that Perovic works every morning and rests afterwards.", "The remaining 12 can be split evenly, which leaves 3 for the mill.",
+    "It lists 31 gloves and a hinge.", "The lamp of Nevald was sold to the shop.", "A letter from Osterdal came late.",
+]
+
+
+def test_rare_cut_prose(spark):
+    """Tails whose whole fragment occurs nowhere else."""
+    cut = {
+        "quote": "Let me check whether the helmet is the same as the “copper", "bracket": "We found it odd (see the seventh", "word": "He lends the mellow shovel they named earl", "opener": "Hm I assume that Tamelle works every afternoon and rests afterwar",
+        "window": "Let me check whether the boat is the same as the “mellow shovel” named", "dots": "Let me check whether the boat is the same as the “mellow shovel” named ear...", "name": "Yesterday came a note from the clerk of Os",
+    }
+    whole = {
+        "stop": "I assume that Perovic works every morning and rests afterwards", "odd": "Let me check whether the boat is the same as the “mellow shovel” named earlier", "singular": "We keep one old glove", "dots2": "I assume that Perovic works every morning and rests afterwards...",
+        "closed": "We keep (in Vell) the “old bell”", "inch": 'The oar is 5" by 7" wide and old', "clause": "Today the rest can be split evenly",
+    }
+    assert _cut(spark, [(k, v, None) for k, v in (cut | whole).items()] + [(f"k{i}", v, None) for i, v in enumerate(KNOWN)]) == set(cut)
+
+
 # 3 consensus
 
 
