@@ -8,8 +8,9 @@ such a fragment elsewhere, when its last words go on inside complete fragments a
 its last word is only a part of known words. Open quotations and brackets, words after which nothing
 ends, and marks of cutting count by themselves.
 
-Text values inside tool output are searched only under keys that hold prose, which is a statistic
-over all values: keys under which few values end like sentences (titles, addresses, names) are not.
+Text values under all keys of tool output are searched. Of a key whose values don't end like sentences
+(titles, addresses, names) a complete value may well begin a sentence elsewhere; there only what
+shows a cut by itself counts, unless so many values of the key show it that the key holds prose.
 
 Scale: one narrow pass per value, whose small result is checkpointed; the search sorts distinct masked
 fragments; what remains are joins of the few tails with the few cut strings.
@@ -17,35 +18,51 @@ fragments; what remains are joins of the few tails with the few cut strings.
 
 from __future__ import annotations
 
+import ast
 import json
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm.fragments import bare, cut_mark, dangling, end_name, end_window, fragments, mask, names, open_prose, open_stack, strict_prefixes, windows, word_forms
+from failscope.llm.fragments import bare, cut_mark, dangling, end_name, end_window, fragments, mask, names, open_prose, open_stack, starts_sentence, strict_prefixes, windows, word_forms
+from failscope.llm.pairs import code_cut
 from failscope.session import checkpointed, require, table
 
-#: share of a key's values that must end like sentences for the key to hold prose
-PROSE_SHARE = 0.5
-#: words of a value from which an unterminated value can be told from a name or a number
+#: share of a key's values that must end like sentences for the key to hold prose, or of its unterminated values that show a cut by themselves (LEAST_SHOWN at least)
+PROSE_SHARE, CUT_SHARE, LEAST_SHOWN = 0.5, 0.3, 3
+#: words of a value from which an unterminated value can be told from a name or a number; shorter ones must begin like a sentence or end in a cut name
 LEAST_WORDS = 4
 
 _CODE = re.compile(r"^\s*(?:def |class |return |for |if |import |from \w+ import )|\blambda\b|\w+\s*=\s*\S|^\s{4}\S", re.M)
+_CODE_START = re.compile(r"^\s*(?:def |class |@\w|import |from \w+ import |```|\w+ = lambda\b)")
 _SCHEMA = "kind string, step_uid string, field string, path string, s string, last_name string, word string, win string, dangles boolean, n bigint, n_ended bigint"
+_FIXED_KEY = re.compile(r"[a-z_][A-Za-z0-9_-]*")
+
+
+def is_code(text: str) -> bool:
+    """The text parses as code."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text.strip("\n"))
+        return True
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
 
 
 def _leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
-    """(key path without positions, text) of all text values."""
+    """(key path without positions and without keys that are data, text) of all text values."""
     todo = [(value, path)]
     while todo:
         v, p = todo.pop()
         if isinstance(v, str):
             yield p, v
         elif isinstance(v, dict):
-            todo += [(x, f"{p}.{'*' if k.isdigit() else k}") for k, x in v.items()]
+            todo += [(x, f"{p}.{k if _FIXED_KEY.fullmatch(k) else '*'}") for k, x in v.items()]
         elif isinstance(v, list):
             todo += [(x, p) for x in v]
 
@@ -106,11 +123,14 @@ class _Out:
             if len(text.split()) >= LEAST_WORDS:
                 word = last if last.isalpha() and last.islower() and len(last) > 2 and tail.rstrip()[-1:].isalpha() else None
                 self.rows.append(("tail", uid, field, path, m, name, word, end_window(masked), dangling(tail), 0, 0))
+            elif starts_sentence(tail):
+                self.rows.append(("tail", uid, field, path, m, None, None, None, dangling(tail), 0, 0))
 
     def text(self, uid: str, field: str, text: str) -> None:
-        if _CODE.search(text) and open_stack(text):
+        code = bool(_CODE.search(text))
+        if code and (open_stack(text) or _CODE_START.search(text) and code_cut(text)):
             self.rows.append(("cut", uid, field, "", "", None, None, None, False, 0, 0))
-        elif not (_CODE.search(text) and not cut_mark(text)):
+        elif not (code and not cut_mark(text) and (_CODE_START.search(text) or is_code(text))):
             self.prose(uid, field, "", text)
 
     def output(self, uid: str, field: str, s: str) -> None:
@@ -182,13 +202,15 @@ def cut_values(steps: DataFrame) -> DataFrame:
     hit = lambda k: tails.withColumn("t", tagged[k]).join(cut.select(F.col("s").alias("t")), "t", "left_semi")
     dangles = tails.filter("dangles").join(scanned.filter("kind = 'bank'").select("s").distinct(), "s", "left_anti")
     at = ["step_uid", "field", "path"]
+    # a part of a name or word, or a word after which nothing ends, shows a cut whatever the key
     shown = checkpointed(hit("name").select(*at).unionByName(hit("word").select(*at)).unionByName(dangles.select(*at)))
     counts = scanned.filter("kind = 'path'").groupBy("path").agg(F.sum("n").alias("n"), F.sum("n_ended").alias("n_ended"))
-    is_prose = (F.col("path") == "") | (F.col("n_ended") >= PROSE_SHARE * F.col("n"))
+    counts = counts.join(shown.groupBy("path").agg(F.count(F.lit(1)).alias("n_shown")), "path", "left")
+    is_prose = (F.col("path") == "") | (F.col("n_ended") >= PROSE_SHARE * F.col("n")) | ((F.col("n_shown") >= LEAST_SHOWN) & (F.col("n_shown") >= CUT_SHARE * (F.col("n") - F.col("n_ended"))))
     prose = counts.filter(is_prose).select("path")
-    by_place = hit("bank").select(*at).unionByName(hit("window").select(*at))
+    by_place = hit("bank").select(*at).unionByName(hit("window").select(*at)).join(prose, "path", "left_semi")
     sure = scanned.filter("kind = 'cut'").select("step_uid", "field")
-    return sure.unionByName(shown.unionByName(by_place).join(prose, "path", "left_semi").select("step_uid", "field")).distinct()
+    return sure.unionByName(shown.select("step_uid", "field")).unionByName(by_place.select("step_uid", "field")).distinct()
 
 
 def cut_shares(steps: DataFrame, traces: DataFrame, found: DataFrame) -> DataFrame:

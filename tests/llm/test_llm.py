@@ -114,6 +114,19 @@ def test_rare_cut_prose(spark):
     assert _cut(spark, [(k, v, None) for k, v in (cut | whole).items()] + [(f"k{i}", v, None) for i, v in enumerate(KNOWN)]) == set(cut)
 
 
+def test_cut_values_under_any_key(spark):
+    """A source that cuts most values of a key, keys that are data, short values, and prose that holds an equation."""
+    out = lambda **v: json.dumps(v)
+    whole = {f"w{i}": out(content=KNOWN[0], title=f"The lamp of {n}") for i, n in enumerate(("Nevald", "Osterdal", "Tamekko"))} | {"kw": json.dumps({"Lima": "The lamp of Nevald"})}
+    cut = {f"c{i}": out(content=v) for i, v in enumerate(("I assume that Tamelle works every morning and rests afterwar", "The remaining 7", "The remaining 9 can be sp", "I assume that", "It lists 4 glo", "A letter"))}
+    cut |= {"k1": json.dumps({"Tokyo": "I assume that Tamelle works every mor"}), "k2": json.dumps({"Paris": {"São Tomé": "The remaining 7 can"}}), "t": out(title="A letter from Oster", content=KNOWN[1])}
+    texts = {"eq": "total = 34, so the rest goes to the shop. The remaining 8 can be split eve"}
+    codes = {"code": "total = 34", "code2": "def f(a):\n    kept = [a]\n    return kept"}
+    cut_codes = {"cc": "def f(a):\n    if not a:\n        return None"}
+    rows = [(k, None, v) for k, v in (whole | cut).items()] + [(k, v, None) for k, v in (texts | codes | cut_codes).items()] + [(f"k{i}_", v, None) for i, v in enumerate(KNOWN)]
+    assert _cut(spark, rows) == {*cut, *texts, *cut_codes}
+
+
 # 3 consensus
 
 
