@@ -4,9 +4,12 @@ Every window of WINDOW words of a held-out item gets a SimHash of 64 bits over i
 weighted by how often they stand in the window. The fingerprints go into a multi-index: RADIUS + 1
 blocks of bits, each a table from block value to fingerprints. Two fingerprints within RADIUS bits
 agree in at least one block, so probing all blocks finds every fingerprint within the radius. Windows
-of the corpus probe the index; candidates are verified on the words themselves: shingles weighted by
-word length must agree to SIMILARITY or more, and WINDOW consecutive words of the item must
-stand one after the other in the document, of which a few may be misread.
+of the corpus probe the index. A few misread letters already turn more bits than that, so candidates
+come from word pairs too: of WINDOW words with MISREAD misread ones at least LEAST_PAIRS pairs of
+neighbours are as in the item, and each fixes the diagonal on which the others must stand. Candidates are
+verified on the words themselves: shingles weighted by word length must agree to SIMILARITY or more,
+and WINDOW consecutive words of the item must stand one after the other in the document, of which a
+few may be misread.
 
 Scale: one narrow pass over the corpus. The item index goes to the tasks in blocks of BLOCK_ITEMS
 items (a fixed bound on what is broadcast); a larger item set takes more passes, not more memory.
@@ -31,6 +34,8 @@ from failscope.session import require, table
 WINDOW, RADIUS, SIMILARITY = 12, 4, 0.8
 #: of WINDOW words, how many may be misread beyond the usual confusions of letters
 MISREAD = 4
+#: MISREAD words leave at most MISREAD + 1 runs of exact words in a window, so at least so many exact pairs of neighbours
+LEAST_PAIRS = WINDOW - MISREAD - (MISREAD + 1)
 BLOCK_ITEMS = 5_000
 
 _CLEAN = re.compile(
@@ -74,21 +79,30 @@ def simhashes(ws: list[str]) -> np.ndarray:
 
 
 def _near(a: str, b: str) -> bool:
-    """Equal, or one word a misread form of the other: words of four letters or more, one edit (two from nine letters)."""
-    if a == b:
-        return True
-    n = min(len(a), len(b))
-    if n < 4 or abs(len(a) - len(b)) > 2 or any(c.isdigit() for c in a + b):
+    """Equal, or one word a misread form of the other; "m" also stands for the "rn" that was folded into it."""
+    return a == b or _edited(a, b) or ("m" in a or "m" in b) and _edited(a.replace("m", "rn"), b.replace("m", "rn"))
+
+
+def _edited(a: str, b: str) -> bool:
+    """One edit apart, two from nine letters; a single letter for a single letter."""
+    n, d = min(len(a), len(b)), len(a) - len(b)
+    if abs(d) > 2 or n < 2 and d or n < 9 and abs(d) > 1:
+        return False
+    if n < 9:
+        i = 0
+        while i < n and a[i] == b[i]:
+            i += 1
+        return a[i + (d >= 0) :] == b[i + (d <= 0) :] and not any(c.isdigit() for c in a + b)
+    if any(c.isdigit() for c in a + b):
         return False
-    most = 2 if n >= 9 else 1
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
+        if min(row) > 2:
             return False
-    return row[-1] <= most
+    return row[-1] <= 2
 
 
 class ItemIndex:
@@ -98,6 +112,10 @@ class ItemIndex:
         self.items = [(i, words(t)) for i, t in items if t]
         self.items = [(i, ws) for i, ws in self.items if len(ws) >= WINDOW]
         self.vocabulary = {w for _, ws in self.items for w in ws}
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for k, (_, ws) in enumerate(self.items):
+            for q, pair in enumerate(zip(ws, ws[1:])):
+                self.pairs.setdefault(pair, []).append((k, q))
         codes, self.places = [], []
         for k, (_, ws) in enumerate(self.items):
             codes.append(simhashes(ws))
@@ -111,18 +129,20 @@ class ItemIndex:
             order = np.argsort(part, kind="stable")
             self.blocks.append((shift, mask, part[order], order))
 
+    def near(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(position in codes, index of an item window) of all within RADIUS bits."""
+        found: set[tuple[int, int]] = set()
+        for shift, mask, keys, order in self.blocks:
+            wanted = (codes >> shift) & mask
+            lo, hi = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+            for n in np.flatnonzero(hi > lo).tolist():
+                same = order[lo[n] : hi[n]]
+                found.update((n, c) for c in same[np.bitwise_count(self.codes[same] ^ codes[n]) <= RADIUS].tolist())
+        yield from sorted(found)
+
     def within_radius(self, code: np.uint64) -> np.ndarray:
         """Indices of all item windows within RADIUS bits."""
-        near = []
-        for shift, mask, keys, order in self.blocks:
-            key = (code >> shift) & mask
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            if hi > lo:
-                near.append(order[lo:hi])
-        if not near:
-            return np.zeros(0, np.int64)
-        found = np.unique(np.concatenate(near))
-        return found[np.bitwise_count(self.codes[found] ^ code) <= RADIUS]
+        return np.array([c for _, c in self.near(np.array([code], np.uint64))], np.int64)
 
     def verified(self, ws: list[str], p: int, k: int, q: int) -> bool:
         """The exact check of a document's window at p against an item's window at q."""
@@ -140,6 +160,16 @@ class ItemIndex:
                 return False
         return misread <= MISREAD and equal >= SIMILARITY * weight
 
+    def on_diagonal(self, ws: list[str], i: int, k: int, q: int) -> bool:
+        """The document's words i and i + 1 are the item's at q: WINDOW words around them are verified."""
+        item = self.items[k][1]
+        lo, hi = 0, 2
+        while hi < WINDOW + WINDOW - 2 and i + hi < len(ws) and q + hi < len(item) and _near(item[q + hi], ws[i + hi]):
+            hi += 1
+        while hi - lo < WINDOW + WINDOW - 2 and i + lo > 0 and q + lo > 0 and _near(item[q + lo - 1], ws[i + lo - 1]):
+            lo -= 1
+        return any(self.verified(ws, i + o, k, q + o) for o in range(lo, hi - WINDOW + 1))
+
     def leaked(self, text: str) -> set[int]:
         """The ids of the items of which the text holds WINDOW consecutive words."""
         ws = words(text)
@@ -151,11 +181,20 @@ class ItemIndex:
         lo, hi = starts[0], starts[-1] + WINDOW
         codes = simhashes(ws[lo:hi])
         found: set[int] = set()
+        for n, c in self.near(codes[np.array(starts) - lo]):
+            k, q = self.places[c]
+            if self.items[k][0] not in found and self.verified(ws, starts[n], k, q):
+                found.add(self.items[k][0])
+        hits: dict[tuple[int, int], list[int]] = {}
+        get, done = self.pairs.get, -1
         for p in starts:
-            for c in self.within_radius(codes[p - lo]):
-                k, q = self.places[c]
-                if self.items[k][0] not in found and self.verified(ws, p, k, q):
-                    found.add(self.items[k][0])
+            for i in range(max(p, done + 1), p + WINDOW - 1):
+                for k, q in get((ws[i], ws[i + 1]), ()):
+                    at = hits.setdefault((k, q - i), [])
+                    at.append(i)
+                    if len(at) >= LEAST_PAIRS and i - at[-LEAST_PAIRS] <= WINDOW - 2 and self.items[k][0] not in found and self.on_diagonal(ws, i, k, q):
+                        found.add(self.items[k][0])
+            done = max(done, p + WINDOW - 2)
         return found
 
 

@@ -281,6 +281,21 @@ def test_index_finds_all_within_radius():
         assert set(index.within_radius(code).tolist()) == want and k in want
 
 
+def test_misread_letters_are_no_way_out():
+    """Any one letter of the twelve words misread, and one in each of four words, short ones too."""
+    index = leakage.ItemIndex([(1, ITEM)])
+    w = [x.strip(".,") for x in ITEM.split()[6:18]]
+    misread = lambda x, at: x[:at] + ("q" if x[at] != "q" else "x") + x[at + 1 :]
+    for n, x in enumerate(w):
+        for at in range(len(x)):
+            assert index.leaked(" ".join([*w[:n], misread(x, at), *w[n + 1 :]])) == {1}, (x, at)
+    for four in itertools.combinations(range(12), 4):
+        got = index.leaked(" ".join(misread(x, len(x) // 2) if n in four else x for n, x in enumerate(w)))
+        assert got == {1}, four
+    assert not index.leaked(" ".join(misread(x, 0) if n < 5 else x for n, x in enumerate(w)))
+    assert leakage._near("tbe", "the") and leakage._near("o", "a") and not leakage._near("on", "a") and not leakage._near("12", "13") and not leakage._near("kettle", "bottle")
+
+
 # 10 residue
 
 
