@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm.subtitles import fold, fold_py, messages
+from failscope.llm.subtitles import STYLING, fold, fold_py, messages
 from failscope.session import checkpointed, require, table
 
 #: Documents and sources in which a message must recur for a loose phrase to hold
@@ -65,19 +65,26 @@ STRICT = [
 ]
 LOOSE = [r"\b(?:access|permission) denied\b[^?]*$", r"\b(?:page|file) not found\b[^?]*$", r"^internal server error\W*$", r"^request id #$"]
 
-#: What every text that a rule matches holds, in raw or in folded form: one cheap
-#: scan that spares the other texts the rules, and changes no result.
+#: What every text that a rule matches holds: a sign in raw form, a word in folded form, or a phrase in folded form
+#: where breaks, bars and styling are blanks, as in messages(). One cheap scan spares the other texts the rules.
 RAW_HINTS = ["{{", "${", "#{", "[[", "__", "@@", "<%", "&lt;"]
 PAIRED_HINTS = {"%": re.compile(r"%[A-Za-z#][\w.#]*%"), "$": re.compile(r"\$[A-Za-z_][\w.#]*\$"), "<": re.compile(r"<[A-Za-z]+[._][\w#]")}
-FOLDED_HINTS = [
-    "script", "error", "request", "unauthorized", "payment req", "forbidden", "not found", "method not", "gone", "internal server", "not implemented", "service unav",
-    "gateway", "could not be", "connection ", "uncaught", "traceback", "down for", "went wrong", "have permission", "session has", "proxy at", "solicitada",
-    "nicht gefunden", "est introuvable", "pagina richiesta", "запрошенная", "goes here", "insert", "enter ", "[add", "type ", "lorem", "ipsum", "dolor", "todo", "tbd", "fixme",
-    "s denied", "n denied",
+#: Words of which every filler text holds one
+FILLER_HINTS = ["lorem", "ipsum", "dolor", "amet", "elit", "magna", "tempor", "tempora", "aliqua"]
+WORD_HINTS = [
+    "script", "error", "request", "unauthorized", "forbidden", "gone", "gateway", "uncaught", "traceback", "solicitada", "introuvable", "запрошенная", "insert", "todo", "tbd", "fixme", *FILLER_HINTS,
 ]
+#: phrase -> a word of it, which is looked for first
+PHRASE_HINTS = {
+    "payment required": "payment", "not found": "found", "method not allowed": "allowed", "not implemented": "implemented", "service unavailable": "unavailable", "could not be ": "could", "connection ": "connection",
+    "down for maintenance": "maintenance", "something went wrong": "wrong", "have permission to": "permission", "session has ": "session", "proxy at ": "proxy", "nicht gefunden": "gefunden", "pagina richiesta": "richiesta",
+    "goes here": "goes", "enter ": "enter", "[add ": "add", "[ add ": "add", "type ": "type", "access denied": "denied", "permission denied": "denied",
+}
 
-
-_LITERALS = [fold_py(x) for x in FOLDED_HINTS]
+_WORDS = [fold_py(x) for x in WORD_HINTS]
+_FIRST = sorted({fold_py(x) for x in PHRASE_HINTS.values()})
+_PHRASES = [fold_py(x) for x in PHRASE_HINTS]
+_BREAKS = re.compile(rf"{STYLING}|[|\s\ufeff]")
 
 
 def may_match(text: str | None) -> bool:
@@ -88,7 +95,12 @@ def may_match(text: str | None) -> bool:
     if not text:
         return False
     folded = fold_py(text)
-    return any(x in folded for x in _LITERALS) or any(x in text for x in RAW_HINTS) or any(x in text and p.search(text) for x, p in PAIRED_HINTS.items())
+    if any(x in folded for x in _WORDS) or any(x in text for x in RAW_HINTS) or any(x in text and p.search(text) for x, p in PAIRED_HINTS.items()):
+        return True
+    if not any(x in folded for x in _FIRST):
+        return False
+    joined = fold_py(" ".join(_BREAKS.sub(" ", text).split()) + " ")
+    return any(x in joined for x in _PHRASES)
 
 
 def _worth_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +136,7 @@ def classified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # substring search in Python reads a text several times as fast as folding and matching it in the JVM
     docs = docs.mapInArrow(_worth_reading, docs.schema)
     rows = messages(docs, text_col, id_col, source_col).withColumn("m", masked(F.col("message")))
-    filler_hint = F.col("m").rlike(_folded([r"\b(?:lorem|ipsum|dolor|amet|elit|magna|tempora?|aliqua)\b"]))
+    filler_hint = F.col("m").rlike(_folded([rf"\b(?:{'|'.join(FILLER_HINTS)})\b"]))
     n, hits = filler_share(F.col("m"))
     rule = (
         F.when(F.col("message").rlike(_any(PLACEHOLDERS)), "placeholder")
