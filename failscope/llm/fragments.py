@@ -148,6 +148,40 @@ def open_prose(text: str) -> bool:
     return bool(stack)
 
 
+_FENCE = re.compile(r"^ {0,3}(```+|~~~+)(?=[^`\n]*$)", re.M)
+_EMPTY_ITEM = re.compile(r"\n[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]*$")
+_STRONG = re.compile(r"(?<![\w*_\\])(\*\*\*?|__)(?=[^\s*_])|(?<=[^\s*_\\])(\*\*\*?|__)(?![\w*_])")
+
+
+def after_fences(text: str) -> str | None:
+    """What follows the last fence, None where a fence is open; all of a text without fences."""
+    fence, end = "", 0
+    for m in _FENCE.finditer(text):
+        if not fence:
+            fence = m.group(1)
+        elif m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence):
+            fence, end = "", m.end()
+    return None if fence else text[end:]
+
+
+def open_markup(text: str) -> bool:
+    """Pushdown scan of a response: a fence, a list item, a strong passage or inline code of the last line, or a quotation or bracket is open at the end."""
+    rest = after_fences(text)
+    if rest is None or _EMPTY_ITEM.search(rest):
+        return True
+    line = rest.rstrip().rpartition("\n")[2]
+    if line.count("`") % 2:
+        return True
+    line = re.sub(r"`[^`]*`", "Q", line)
+    stack: list[str] = []
+    for m in _STRONG.finditer(line):
+        if m.group() in stack and (m.group(2) or m.group(1)):
+            del stack[stack.index(m.group()) :]
+        elif m.group(1):
+            stack.append(m.group(1))
+    return bool(stack) or open_prose(line)
+
+
 _INFLECTION = re.compile(r"(?<=\w{2})(?:ings?|ers?|e[sd]|ly|[sdnr])$")
 
 

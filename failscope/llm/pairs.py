@@ -2,8 +2,9 @@
 
 Each response gets at most one defect, tried in this order: `empty`, `refusal` (a grammar of
 openings and verbs in several languages), `copy` (greedy string tiling against the problem
-statement), `language` (script and function words, quotations left out), `truncated` (a pushdown scan
-of code, and the sorted prefix search of `fragments` for prose).
+statement), `language` (script and function words, quotations left out), `truncated` (pushdown scans:
+of code, and of the fences, brackets, quotations, list items and markup of all other responses; and the
+sorted prefix search of `fragments` for prose without open signs).
 
 Scale: one narrow pass a table; statements reach the rationales by one equi-join on the trace. Rows
 without a statement look it up by problem, after one aggregation. The prefix search sorts distinct
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.llm.fragments import DANGLING, bare, dangling, fragments, last_name, mask, names, open_stack, starts_sentence, strict_prefixes
+from failscope.llm.fragments import DANGLING, after_fences, bare, dangling, fragments, last_name, mask, names, open_markup, open_stack, starts_sentence, strict_prefixes
 from failscope.session import checkpointed, require, table, trim_all
 
 _SCHEMA = "kind string, trace_id string, field string, s string, last_name string, defect string"
@@ -177,7 +178,7 @@ def other_language(text: str, statement: str | None) -> bool:
 def code_cut(text: str) -> bool:
     """Code whose end is lost: brackets, strings or fences are open, or a block or function has no end."""
     body = text.rstrip()
-    if body.count("```") % 2:
+    if after_fences(body) is None or body.count("```") % 2:
         return True
     body = re.sub(r"```\w*\n?", "", body).rstrip()
     if open_stack(body) or re.search(r"(?:[:=+\-*/%,.&|<>\\]|\b(?:return|in|if|else|for|and|or|not|lambda|def|class|import))$", body):
@@ -216,10 +217,12 @@ class _Out:
             defect = "copy"
         elif other_language(text, statement):
             defect = "language"
-        elif _CODE.search(text):
+        elif _CODE.search(text) and ((rest := after_fences(text)) is None or rest == text or not rest.strip()):
             defect = "truncated" if code_cut(text) else None
+        elif len(text.split()) > 1 and open_markup(text):
+            defect = "truncated"
         else:
-            whole, tail = fragments(text)
+            whole, tail = fragments(after_fences(text))
             for f in whole:
                 self.known("bank", bare(mask(f)))
                 for name in names(f):

@@ -64,6 +64,21 @@ def test_pairs_frame(spark):
     assert pairs.defects(traces.limit(0), labels.limit(0)).count() == 0
 
 
+def test_pairs_open_signs(spark):
+    """Responses like no other, cut within a fence, bracket, quotation, list item or markup; and the same closed."""
+    cut = {
+        "bracket": "Vell sold the eighth lamp (see the", "quote": "Nobody answered “we kept", "list": "Steps:\n1. Sell both lamps.\n2.", "strong": "The clerk notes **seven lamps", "inline": "Call `sort_lamps", "fence": "So:\n```python\nx = 1\nprint(x)",
+        "tilde": "So:\n~~~\nseven lamps", "after": "```python\nx = 1\n```\nHere x holds (as was",
+    }
+    whole = {
+        "bracket_": "Vell sold the eighth lamp (see the map)", "quote_": "Nobody answered “we kept it”", "list_": "Steps:\n1. Sell both lamps.\n2. Rest", "strong_": "The clerk notes **seven** lamps", "inline_": "Call `sort_lamps`", "fence_": "So:\n```python\nx = 1\n```",
+        "times_": "7 ** 2 is 49", "after_": "```python\nx = 1\n```\nHere x holds one lamp", "smile_": "Seven lamps :(", "item_": "a) seven lamps", "line_": "Use ```x = 1``` here", "init_": "Call __init__ twice",
+    }
+    traces = _traces(spark, [(k, None, None, None, "7", v, T1) for k, v in (cut | whole).items()])
+    labels = spark.createDataFrame([], "trace_id string, llm_1_action string, llm_1_rationale string, ingested_at timestamp")
+    assert sorted((r.trace_id, r.defect) for r in pairs.defects(traces, labels).collect()) == sorted((k, "truncated") for k in cut)
+
+
 # 2 truncation
 
 
