@@ -160,14 +160,33 @@ def rendered(max_steps: int = 30, max_text: int = 600):
     return F.when(more > 0, F.concat(body, F.lit("\n... "), more.cast("string"), F.lit(" more steps"))).otherwise(body)
 
 
+def _tagged(**values):
+    """Lines `[NAME] value`; a null prints as None."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"[{k.upper()}] "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for k, c in values.items()])
+
+
+def all_steps(max_text: int = 600, max_output: int = 400):
+    """The ordered array `a` of all steps as text lines, with tool names and the beginnings of texts and outputs, as in the reference."""
+    def lines(x):
+        tool = F.when(F.length(x["tool_name"]) > 0, F.concat(F.lit(" tool="), x["tool_name"])).otherwise("")
+        header = F.concat(F.lit("[STEP "), F.coalesce(x["step_index"].cast("string"), F.lit("None")), F.lit("] type="), F.coalesce(x["step_type"], F.lit("None")), tool)
+        text = F.when(F.length(x["text"]) > 0, F.concat(F.lit("  "), F.left(x["text"], F.lit(max_text))))
+        output = F.when(F.length(x["tool_output_json"]) > 0, F.concat(F.lit("  output: "), F.left(x["tool_output_json"], F.lit(max_output))))
+        return F.concat_ws("\n", header, text, output)
+
+    return F.transform("a", lines)
+
+
 def text_views(traces: DataFrame, steps: DataFrame) -> DataFrame:
-    """(trace_id, full_trace, final_answer_only, trace_stats_only, causal_neighborhood): the inputs of the classifiers."""
+    """(trace_id, full_trace, final_answer_only, verifier_feedback_only, trace_stats_only, causal_neighborhood): the inputs of the classifiers."""
     near = F.filter("a", lambda x: F.exists(F.filter("a", lambda y: y["bad"] == 1), lambda y: F.abs(y["step_id"] - x["step_id"]) <= 2))
-    s = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_uid", "step_id", "step_type", "text", F.when(F.col("tool_call_result") == 0, 1).otherwise(0).alias("bad")))).alias("a"))
-    j = traces.select("trace_id", "problem_statement", "final_answer").join(s, "trace_id", "left").withColumn("a", F.coalesce("a", F.array().cast(s.schema["a"].dataType)))
+    s = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_uid", "step_id", "step_type", "text", "tool_name", "tool_output_json", F.when(F.col("tool_call_result") == 0, 1).otherwise(0).alias("bad")))).alias("a"))
+    j = traces.select("trace_id", "domain", "problem_id", "problem_statement", "gold_answer", "final_answer", "answer_exact_match").join(s, "trace_id", "left").withColumn("a", F.coalesce("a", F.array().cast(s.schema["a"].dataType)))
     stats = F.format_string("steps=%d failed=%d", F.size("a"), F.size(F.filter("a", lambda x: x["bad"] == 1)))
     near_text = F.array_join(F.transform(near, lambda x: F.concat(F.coalesce(x["step_type"], F.lit("None")), F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")
-    return j.select("trace_id", F.concat_ws("\n", F.coalesce("problem_statement", F.lit("")), rendered()).alias("full_trace"), F.coalesce("final_answer", F.lit("")).alias("final_answer_only"), stats.alias("trace_stats_only"), near_text.alias("causal_neighborhood"))
+    full = F.concat_ws("\n", _tagged(domain="domain", problem="problem_statement"), all_steps(), _tagged(final_answer="final_answer"))
+    feedback = _tagged(domain="domain", problem_id="problem_id", gold_answer="gold_answer", agent_final_answer="final_answer", answer_exact_match="answer_exact_match")
+    return j.select("trace_id", full.alias("full_trace"), F.coalesce("final_answer", F.lit("")).alias("final_answer_only"), feedback.alias("verifier_feedback_only"), stats.alias("trace_stats_only"), near_text.alias("causal_neighborhood"))
 
 
 @F.pandas_udf(T.StringType())

@@ -138,3 +138,15 @@ def test_entry_without_llm(monkeypatch):
     monkeypatch.setitem(sys.modules, "failscope.llm", None)
     names = E.queries()
     assert "p5_found" in names and "p1_found" not in names and set(E.oracle_sql()) <= set(names)
+
+
+def test_full_trace_has_all_steps(spark):
+    from failscope.functions import text
+
+    traces = spark.createDataFrame([("t", "D", "p1", "Q?", "4", "The end", 0), ("u", None, None, None, None, None, None)], "trace_id string, domain string, problem_id string, problem_statement string, gold_answer string, final_answer string, answer_exact_match int")
+    steps = spark.createDataFrame([("t", i, f"s{i:02}", i, "tool_call", f"text {i}", "web" if i else None, f"out {i}" if i else None, 1) for i in range(45)], "trace_id string, step_index int, step_uid string, step_id int, step_type string, text string, tool_name string, tool_output_json string, tool_call_result int")
+    got = {r.trace_id: r for r in text.text_views(traces, steps).collect()}
+    steps_of = "\n".join(f"[STEP {i}] type=tool_call" + (f" tool=web\n  text {i}\n  output: out {i}" if i else f"\n  text {i}") for i in range(45))
+    assert got["t"].full_trace == f"[DOMAIN] D\n[PROBLEM] Q?\n{steps_of}\n[FINAL_ANSWER] The end"
+    assert got["t"].verifier_feedback_only == "[DOMAIN] D\n[PROBLEM_ID] p1\n[GOLD_ANSWER] 4\n[AGENT_FINAL_ANSWER] The end\n[ANSWER_EXACT_MATCH] 0"
+    assert got["u"].full_trace == "[DOMAIN] None\n[PROBLEM] None\n[FINAL_ANSWER] None"
