@@ -1,7 +1,7 @@
-"""Classifiers over trace texts and features: TF-IDF, scaling, linear and tree models, baselines, leave-one-domain-out.
+"""Classifiers over step features, and TF-IDF of texts: scaling, linear and tree models, baselines, leave-one-domain-out.
 
 Text statistics are relational (counts and joins); models are Spark ML estimators, which train by
-aggregation over the executors. Everything fitted is fitted on training rows only.
+aggregation over the executors. What the models fit is fitted on training rows only; TF-IDF, which serves top terms, on all rows.
 """
 
 from __future__ import annotations
@@ -113,10 +113,20 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def domain_key(col):
+    """A domain without letter case, signs and white space, since they are spelt unevenly; ? where nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]", ""), F.lit("")), F.lit("?"))
+
+
+def held_out_domains(data: DataFrame, least: int) -> list[str]:
+    """All domains with enough rows; what is collected are domains, not rows."""
+    return [r[0] for r in data.groupBy("domain").count().filter(F.col("count") >= least).orderBy("domain").collect()]
+
+
 def cross_domain(spark: SparkSession, d: str, least: int = 20) -> DataFrame:
     """Leave one domain out: scores of a model trained on the other domains, for domains with enough rows."""
-    data = checkpointed(dataset(spark, d))
-    big = [r[0] for r in data.groupBy("domain").count().filter(F.col("count") >= least).orderBy("domain").limit(50).collect()]  # domains, not rows
+    data = checkpointed(dataset(spark, d).withColumn("domain", domain_key(F.col("domain"))))
+    big = held_out_domains(data, least)
     out = None
     for x in big:
         s = _scores(fit_predict(data.filter(F.col("domain") != x), data.filter(F.col("domain") == x), "logreg"), x)

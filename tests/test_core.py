@@ -150,3 +150,13 @@ def test_full_trace_has_all_steps(spark):
     assert got["t"].full_trace == f"[DOMAIN] D\n[PROBLEM] Q?\n{steps_of}\n[FINAL_ANSWER] The end"
     assert got["t"].verifier_feedback_only == "[DOMAIN] D\n[PROBLEM_ID] p1\n[GOLD_ANSWER] 4\n[AGENT_FINAL_ANSWER] The end\n[ANSWER_EXACT_MATCH] 0"
     assert got["u"].full_trace == "[DOMAIN] None\n[PROBLEM] None\n[FINAL_ANSWER] None"
+
+
+def test_cross_domain_holds_out_every_domain(spark):
+    from pyspark.sql import functions as F
+
+    from failscope.operators import ml
+
+    spelt = [f"Domain {i:02}" for i in range(60)] + [f" domain-{i:02}" for i in range(60)] + [None, "?", "rare"]
+    data = spark.createDataFrame([(x,) for x in spelt], "domain string").withColumn("domain", ml.domain_key(F.col("domain")))
+    assert ml.held_out_domains(data, 2) == ["?"] + [f"domain{i:02}" for i in range(60)]
