@@ -1,28 +1,32 @@
-"""Subtitle texts as messages: cues without their frames, numbers, times and styling (built-in expressions)."""
+"""Subtitle texts as messages: cues without their frames, numbers, times and styling."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import re
 
-#: line frames of srt, vtt and frame-based cues: blank lines, cue numbers, times, headers, {from}{to}
-FRAME = r"(?m)^[﻿ \t]*(?:WEBVTT[^\n]*|\d+|[^\n]*-->[^\n]*)?[ \t]*$|\{\d+\}\{\d+\}"
-#: styling: known tags and override codes; unknown tags stay, since they may be placeholders
-STYLING = r"(?i)</?(?:i|b|u|s|c|v|p|br|hr|em|strong|font|ruby|rt|lang|span|div|html|head|body|title|noscript|center|h[1-6])(?:[ .][^<>]*)?/?>|\{\\[^{}]*\}|\{[a-z]:[^{}]*\}"
-SEPARATOR = "\u0001"
+_FRAMES = re.compile(r"\{\d+\}\{\d+\}")
 
 
-def messages(documents: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """One row a non-empty cue, or block of a text without cues: the kept columns and `message`.
+def cue_texts(text: str) -> list[str]:
+    """The texts of the cues of a file, or the blocks of a text without cues, in order; line breaks and bars inside a cue become blanks.
 
-    Line breaks inside a cue become blanks; null, empty and blank texts give no rows.
+    Blank lines, lines of digits, times, headers and frame numbers stand between cues.
     """
-    text = F.regexp_replace(F.col(text_col), r"\r\n?|\|", "\n")
-    parts = F.split(F.regexp_replace(text, FRAME, SEPARATOR), SEPARATOR)
-    rows = documents.filter(F.col(text_col).isNotNull()).select(*keep, F.explode(parts).alias("message"))
-    rows = rows.filter(F.col("message").rlike(r"\S"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("message", STYLING, " "), r"[\s﻿]+", " "))
-    return rows.withColumn("message", plain).filter(F.length("message") > 0)
+    t = text.replace("\r\n", "\n").replace("\r", "\n").replace("|", "\n").replace("﻿", " ")
+    if "}{" in t:
+        t = _FRAMES.sub("\n\n", t)
+    out: list[str] = []
+    cue: list[str] = []
+    for line in t.split("\n"):
+        if not line or line.isspace() or "-->" in line or line.strip().isdigit() or line.lstrip()[:6] == "WEBVTT":
+            if cue:
+                out.append(" ".join(cue))
+                cue = []
+        else:
+            cue.append(line)
+    if cue:
+        out.append(" ".join(cue))
+    return out
 
 
 def fold_py(s: str) -> str:
@@ -30,6 +34,7 @@ def fold_py(s: str) -> str:
     return s.lower().replace("rn", "m").replace("’", "'").replace("c", "e").replace("i", "l").replace("1", "l").replace("0", "o")
 
 
-def fold(col):
-    """fold_py as a column."""
-    return F.translate(F.replace(F.lower(col), F.lit("rn"), F.lit("m")), "’ci10", "'ello")
+#: styling in folded text: known tags and override codes; unknown tags stay, since they may be placeholders
+STYLING = re.compile(
+    "</?(?:" + "|".join(sorted({fold_py(t) for t in "i b u s c v p br hr em strong font ruby rt lang span div html head body title noscript center h1 h2 h3 h4 h5 h6".split()})) + r")(?:[ .][^<>]*)?/?>|\{\\[^{}]*\}|\{[a-z]:[^{}]*\}"
+)

@@ -330,16 +330,30 @@ def test_loose_phrases_need_to_recur(spark):
     assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [0, 1, 2]
 
 
-def test_prefilter_keeps_what_rules_match(spark):
-    """Phrases over line breaks, bars and styling, each filler word, and each kind of strict phrase."""
+def test_rules_hold_over_breaks_and_styling(spark):
+    """Phrases over line breaks, bars and styling, filler, and each kind of strict phrase."""
     phrases = [
-        "Consectetur adipiscing elit sed do eiusmod tempor", "Sed magna aliqua enim ad minim veniam", "Quis amet nostrud exercitation ullamco laboris", "Tempora rerum quidem porta verbis", "Something went wrong. Please try again", "Your session has expired", "The name goes here",
+        "Consectetur adipiscing elit sed do eiusmod tempor", "Sed magna aliqua enim ad minim veniam", "Quis amet nostrud exercitation ullamco laboris", "Tempora rerum quidem porta verbis", "text text text text", "Sample subtitle line number 5", "asdf asdf qwer asdf", "Hello {% speaker %}, welcome", "<<CHARACTER>>, come", "Something went wrong. Please try again", "Your session has expired", "The name goes here",
         "402 Payment Required", "405 Method Not Allowed", "501 Not Implemented", "503 Service Unavailable", "404 Not Found", "The page could not be found", "Connection timed out", "We are down for maintenance", "You don't have permission to access this", "Proxy at 10.0.0.1",
         "Die angeforderte Seite wurde nicht gefunden", "La pagina richiesta non è stata trovata", "Enter your name here", "Type some text here", "[ add name ]", "[Add your name]",
     ]
     # a number alone on its line is the frame of a cue, so a status keeps its blank
     texts = [re.sub(r"(?<!\d) ", lambda _, sep=sep: sep, p) for p in phrases for sep in (" ", "\n", "|", "\r\n", "<b> ", " <br/>", "  ")]
-    assert all(residue.may_match(t) for t in texts)
     docs = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
     assert sorted(r.doc_id for r in residue.residue_documents(docs).collect()) == [*range(len(texts))]
-    assert not residue.may_match("Fine.\n\nI could have found the session.")
+    assert not any(residue.rule_of(residue.mask(m)) for m in residue.folded_messages("Fine.\n\nI could have found the session.\n\nTest, test.\n\nNulla dolor e minima ma non per lei."))
+
+
+def test_groups_count_documents(spark):
+    """A line that one document repeats is one document; a null source is one source; many groups are joined without a broadcast."""
+    docs = [(1, "Permission denied\n\nPermission denied\n\nPermission denied", "a"), (2, "Permission denied", None), (2, "Permission denied", None), (3, "Dear {{ name }},", "a"), (4, "Dear __cue__,", "b"), (5, "Dear <%= x %>,", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [3, 4, 5]
+    got = {r.message: (r.n_docs, r.n_sources, r.recurs) for r in residue.classified_groups(residue.message_rows(df)).collect()}
+    assert got == {residue.fold_py("permission denied"): (2, 2, False), f"dear {residue.SLOT},": (3, 3, True)}
+    few = residue.BROADCAST_GROUPS
+    try:
+        residue.BROADCAST_GROUPS = 0
+        assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [3, 4, 5]
+    finally:
+        residue.BROADCAST_GROUPS = few
