@@ -1,17 +1,21 @@
 """Problem 4: the same or nearly the same problem in the training split and in an evaluation split.
 
-Statements are made canonical (letter case, markup, framing, number words) and distinct. A suffix
-array is built over the concatenated texts of each partition, a partition being the texts with
-the same quantities, since only those can pose one problem: all word suffixes are sorted, and
-neighbours with a long common prefix reveal shared spans. The spans of two texts are merged into the
-coverage of each; covered pairs are verified word by word (the same names and quantities in the
-same places, other words the same but for slips of typing). Verified links make classes, and the
-answer is every train trace with every evaluation trace of its class.
+Statements are made canonical (letter case, markup, framing, number words, decimals) and distinct. A
+suffix array is built over the concatenated texts of each partition, a partition being the texts with
+the same quantities and number of words, since only those can pose one problem: all word suffixes are
+sorted, and neighbours with a long common prefix reveal pairs of texts with shared spans. Equal
+suffixes stand in the order of the whole texts, so that texts of other names don't come between two
+that differ by a slip. The shared spans of a revealed pair are merged into the coverage of its texts;
+covered pairs are verified word by word (the same names and quantities in the same places, other words
+the same but for slips of typing). Verified links make classes, and the answer is every train trace with
+every evaluation trace of its class.
 
 Scale: a text that a third of all traces share is one row until the last step. Suffixes are made
-only for texts whose quantities occur in both sides. The sort is a range partitioning streamed by
-each task. The last join splits large classes into blocks of train traces, so that no task holds a
-class, and every pair is made once.
+only for texts whose quantities occur in both sides. The sort is a range partitioning by suffix and
+text, so that an ending which all texts share is spread too; each task streams, and the pairs over
+the edges of partitions are settled from two rows a partition, so the result is the same for any number
+of partitions. The last join splits large classes into blocks of train traces, so that no task holds
+a class, and every pair is made once.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from failscope.operators.windows import ordinals
 from failscope.session import checkpointed, require, table, trim_all
 
-#: words of a common prefix that make a shared span; words of a suffix that are compared (longer spans are merged from several)
-SPAN_WORDS, SUFFIX_WORDS = 5, 32
-#: share of the shorter text that merged spans must cover for a pair to be verified
+#: words of a common prefix that make a shared span; words of a suffix that are sorted (beyond them the order of the whole texts holds)
+SPAN_WORDS, SUFFIX_WORDS = 5, 16
+#: share of a text that merged spans must cover for a pair to be verified
 COVERAGE = 0.5
 #: train traces of one class that are joined in one block
 BLOCK = 2_000
@@ -45,29 +50,58 @@ _AFTER = re.compile(r" ?\b(?:think step by step|show your work|give only the fin
 _WORD = re.compile(r"(?<![\w-])-\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?|[^\W\d]+(?:['’][^\W\d]+)*|\w+")
 
 
+def _digits(w: str) -> str:
+    """A number without thousands marks and closing zeros."""
+    w = w.replace(",", "")
+    return w.rstrip("0").rstrip(".") if "." in w else w
+
+
+def numbers_in_digits(ws: list[str]) -> list[str]:
+    """Number words as digits: seven, twenty one, one hundred and five, two thousand."""
+    out: list[str] = []
+    total = current = None  # of the number being read
+    joined = False  # an "and" stands after hundred or thousand
+
+    def close() -> None:
+        nonlocal total, current, joined
+        if total is not None or current is not None:
+            out.append(str((total or 0) + (current or 0)))
+        if joined:
+            out.append("and")
+        total = current = None
+        joined = False
+
+    for w in ws:
+        n = NUMBER_WORDS.get(w)
+        if n is not None:
+            c = current or 0
+            goes_on = (current is None and total is not None) or (c >= 100 and c % 100 == 0) or (20 <= c % 100 and c % 10 == 0 and 0 < n < 10)
+            if (current is not None or total is not None) and not (goes_on and n > 0):
+                close()
+            current, joined = (current or 0) + n, False
+        elif w == "hundred" and (current is None and out and out[-1] == "a" or current is not None and 0 < current < 100):
+            if current is None:
+                out.pop()
+            current = (current or 1) * 100
+        elif w == "thousand" and (current is not None and total is None or current is None and total is None and out and out[-1] == "a"):
+            if current is None:
+                out.pop()
+            total, current = (current or 1) * 1000, None
+        elif w == "and" and not joined and (current is not None and current >= 100 and current % 100 == 0 or current is None and total is not None):
+            joined = True
+        else:
+            close()
+            out.append(w)
+    close()
+    return out
+
+
 def canonical(statement: str) -> str:
     """The words of a statement as they count: blank-separated, lower case, numbers in digits, without framing."""
     t = html.unescape(re.sub(r"<[^<>]{1,40}>", " ", statement))
     t = unicodedata.normalize("NFKC", t).lower().replace("’", "'").replace("&", " and ")
-    out: list[str] = []
-    tens = False
-    for w in _WORD.findall(t):
-        w = w.rstrip(",") if w[-1:] == "," else w
-        if w[0].isdigit() or w[0] == "-":
-            out.append(w.replace(",", ""))
-            tens = False
-        elif w in NUMBER_WORDS:
-            n = NUMBER_WORDS[w]
-            if tens and 0 < n < 10:
-                out[-1] = str(int(out[-1]) + n)
-                tens = False
-            else:
-                out.append(str(n))
-                tens = w in _TENS
-        else:
-            out.append(w)
-            tens = False
-    s = " ".join(out).replace("what number of", "how many")
+    words = (w.rstrip(",") if w[-1:] == "," else w for w in _WORD.findall(t))
+    s = " ".join(numbers_in_digits([_digits(w) if w[0].isdigit() or w[0] == "-" else w for w in words])).replace("what number of", "how many")
     last = None
     while s != last:
         last = s
@@ -146,55 +180,81 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(canon, pa.string()), pa.array([quantities(c) for c in canon], pa.string())], names=["statement", "canon", "sig"])
 
 
+def coverage(a: str, b: str) -> float:
+    """The share of the words of `a` that lie in spans of SPAN_WORDS or more words which `b` has too."""
+    x, y = a.split(" "), b.split(" ")
+    k = min(SPAN_WORDS, len(x), len(y))
+    there = {tuple(y[j : j + k]) for j in range(len(y) - k + 1)}
+    covered, end = 0, 0
+    for i in range(len(x) - k + 1):
+        if tuple(x[i : i + k]) in there:
+            covered += i + k - max(i, end)
+            end = i + k
+    return covered / len(x)
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for sig, key, canon in zip(*(b.column(i).to_pylist() for i in range(3))):
+        out: tuple[list, list, list] = ([], [], [])
+        for bucket, n, canon in zip(*(b.column(i).to_pylist() for i in range(3))):
             ws = canon.split(" ")
             for p in range(max(1, len(ws) - SPAN_WORDS + 1)):
-                for c, v in zip(out, (sig, key, p, len(ws), " ".join(ws[p : p + SUFFIX_WORDS]))):
+                for c, v in zip(out, (bucket, " ".join(ws[p : p + SUFFIX_WORDS]), n)):
                     c.append(v)
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["sig", "key", "pos", "n_words", "suffix"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["bucket", "suffix", "n"])
 
 
-_LINK = "key_a string, key_b string, pos_a int, pos_b int, span int, n_words int"
+def _linked(a: tuple, b: tuple) -> bool:
+    """Two neighbouring suffixes (bucket, suffix, n) of different texts share a span."""
+    if a[0] != b[0] or a[2] == b[2]:
+        return False
+    x, y = a[1].split(" ", SPAN_WORDS), b[1].split(" ", SPAN_WORDS)
+    k = min(SPAN_WORDS, len(x), len(y))
+    return x[:k] == y[:k]
 
 
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a.split(" "), b.split(" ")):
-        if x != y:
-            break
-        n += 1
-    return n
+_PAIR = "kind string, pid int, bucket bigint, suffix string, n_a bigint, n_b bigint"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over suffixes sorted by partition and text: the common prefixes of neighbours from different texts."""
-    last = None
+    """Over suffixes sorted by bucket, text and n: the pairs of neighbours that share a span, and the first and the last row of the partition."""
+    from pyspark import TaskContext
+
+    pid = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in _PAIR.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    rows: set[tuple] = set()
+    first = last = None
     for b in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-            sig, key, pos, n, suffix = row
-            if last is not None and last[0] == sig and last[1] != key:
-                span = _common(last[4], suffix)
-                if span >= min(SPAN_WORDS, n, last[3]):
-                    (ka, pa_, na), (kb, pb, nb) = sorted(((last[1], last[2], last[3]), (key, pos, n)))
-                    for c, v in zip(out, (ka, kb, pa_, pb, span, min(na, nb))):
-                        c.append(v)
+        for row in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if last is None:
+                first = row
+            elif _linked(last, row):
+                rows.add((min(last[2], row[2]), max(last[2], row[2])))
             last = row
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.string()] * 2 + [pa.int32()] * 4)], names=[x.split()[0] for x in _LINK.split(", ")])
+        pairs = [("pair", pid, None, None, x, y) for x, y in rows]
+        rows = set()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*pairs)) or [[]] * 6, kinds)], names=names)
+    if first is not None:
+        ends = [("first", pid, first[0], first[1], first[2], None), ("last", pid, last[0], last[1], last[2], None)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ends), kinds)], names=names)
 
 
 def shared_spans(texts: DataFrame) -> DataFrame:
-    """(key_a, key_b, covered): neighbours in the suffix arrays of (sig, key, canon), with the merged coverage of the shorter text."""
-    suffixes = texts.select("sig", "key", "canon").mapInArrow(_suffixes, "sig string, key string, pos int, n_words int, suffix string")
-    ordered = suffixes.repartitionByRange("sig", "suffix").sortWithinPartitions("sig", "suffix", "key", "pos")
-    spans = ordered.mapInArrow(_neighbours, _LINK)
-    words = F.explode(F.sequence(F.col("pos_a"), F.col("pos_a") + F.col("span") - 1))
-    covered = spans.select("key_a", "key_b", "n_words", words.alias("w")).groupBy("key_a", "key_b", "n_words").agg(F.count_distinct("w").alias("n"))
-    return covered.select("key_a", "key_b", (F.col("n") / F.col("n_words")).alias("covered"))
+    """(n_a, n_b): distinct pairs of texts, by number, that are neighbours in the suffix arrays of (bucket, n, canon) with a common prefix of SPAN_WORDS or more."""
+    suffixes = texts.select("bucket", "n", "canon").mapInArrow(_suffixes, "bucket bigint, suffix string, n bigint")
+    ordered = suffixes.repartitionByRange("bucket", "suffix", "n").sortWithinPartitions("bucket", "suffix", "n")
+    out = checkpointed(ordered.mapInArrow(_neighbours, _PAIR))
+    # two rows a partition: the first row of each meets the last row of the partition before it that holds rows
+    edge = Window.orderBy("pid", "kind")
+    at = lambda c: F.lag(c).over(edge).alias(f"p_{c}")
+    edges = out.filter("kind <> 'pair'").select("kind", "bucket", "suffix", "n_a", at("bucket"), at("suffix"), at("n_a"))
+    k = lambda c: F.slice(F.split(c, " "), 1, SPAN_WORDS)
+    span = F.least(F.size(k("suffix")), F.size(k("p_suffix")))
+    same = F.slice(k("suffix"), F.lit(1), span) == F.slice(k("p_suffix"), F.lit(1), span)
+    edges = edges.filter((F.col("kind") == "first") & (F.col("bucket") == F.col("p_bucket")) & (F.col("n_a") != F.col("p_n_a")) & same)
+    over = edges.select(F.least("n_a", "p_n_a").alias("n_a"), F.greatest("n_a", "p_n_a").alias("n_b"))
+    return out.filter("kind = 'pair'").select("n_a", "n_b").unionByName(over).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,16 +279,19 @@ def problem_classes(rows: DataFrame) -> DataFrame:
     raw = rows.groupBy("statement").agg(F.bit_or(side).alias("sides"))
     canon = checkpointed(raw.select("statement").mapInArrow(_canonical_rows, "statement string, canon string, sig string").withColumn("key", F.md5("canon")))
     texts = canon.join(raw, "statement").groupBy("key", "sig").agg(F.min("canon").alias("canon"), F.bit_or("sides").alias("sides"))
-    texts = checkpointed(texts)
-    shared = texts.groupBy("sig").agg(F.bit_or("sides").alias("s"), F.count(F.lit(1)).alias("n")).filter("s = 3 and n > 1").select("sig")
-    spans = shared_spans(texts.join(shared, "sig", "left_semi")).filter(F.col("covered") >= COVERAGE)
-    a = texts.select(F.col("key").alias("key_a"), F.col("canon").alias("canon_a"))
-    b = texts.select(F.col("key").alias("key_b"), F.col("canon").alias("canon_b"))
-    pairs = spans.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", "canon_a", "canon_b")
+    # texts of one problem have the same quantities and as many words
+    texts = checkpointed(texts.withColumn("bucket", F.xxhash64("sig", F.size(F.split("canon", " ")))))
+    shared = texts.groupBy("bucket").agg(F.bit_or("sides").alias("s"), F.count(F.lit(1)).alias("n")).filter("s = 3 and n > 1").select("bucket")
+    numbered = ordinals(texts.join(shared, "bucket", "left_semi").select("key", "bucket", "canon"), ["canon", "key"]).withColumnRenamed("ordinal", "n")
+    numbered = checkpointed(numbered)
+    spans = shared_spans(numbered)
+    a = numbered.select(F.col("n").alias("n_a"), F.col("key").alias("key_a"), F.col("canon").alias("canon_a"))
+    b = numbered.select(F.col("n").alias("n_b"), F.col("key").alias("key_b"), F.col("canon").alias("canon_b"))
+    pairs = spans.join(a, "n_a").join(b, "n_b").select("key_a", "key_b", "canon_a", "canon_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [same_problem(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [coverage(x, y) >= COVERAGE and same_problem(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     classes = components(texts, pairs.mapInArrow(verify, "key_a string, key_b string"))
@@ -263,5 +326,13 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return held.join(train, "class_id").groupBy("split", "benchmark").agg(F.sum(F.col("n") * F.col("n_train")).alias("n_pairs"), F.sum("n").alias("n_traces"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a trace of a class that both sides have: its class and the number of its links (the traces of the other side)."""
+    rows = checkpointed(problem_classes(labelled_statements(table(spark, d, "traces"), table(spark, d, "triage_labels"))))
+    is_train = F.col("split") == "train"
+    sizes = rows.groupBy("class_id").agg(F.count_if(is_train).alias("n_train"), F.count_if(~is_train).alias("n_eval")).filter("n_train > 0 and n_eval > 0")
+    return rows.join(sizes, "class_id").select("trace_id", "split", "class_id", F.when(is_train, F.col("n_eval")).otherwise(F.col("n_train")).alias("n_links"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p4_classes": p4_classes}
 SQL: dict[str, str] = {}

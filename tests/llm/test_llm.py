@@ -186,6 +186,8 @@ def test_same_problem():
     for b in (a.replace("Perorin", "Perald"), a.replace("65", "66"), a.replace("65", "X").replace(" 4 ", " 65 ").replace("X", "4"), a.replace("185 to 201", "201 to 185")):
         assert not splits_overlap.same_problem(c(a), c(b)), b
     assert c("It was -8 or twenty one") == "it was -8 or 21"
+    assert c("one hundred and five mills, a hundred carts and two") == "105 mills 100 carts and 2" and c("two thousand three hundred and forty-one") == "2341" and c("one two three") == "1 2 3"
+    assert c("1.50 or 3.0 or 1,200 or 1200.25") == "1.5 or 3 or 1200 or 1200.25" and c("one hundred and a boat, a thousand of five") == "100 and a boat 1000 of 5"
 
 
 def test_overlap_frame(spark):
@@ -200,6 +202,35 @@ def test_overlap_frame(spark):
     assert splits_overlap.overlapping_traces(traces.limit(0), labels).count() == 0
 
 
+def test_overlap_is_the_same_for_any_partitioning(spark):
+    """Slips, a third of all texts with one ending, and texts of another name that share everything else."""
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("bdklmnrstv") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    st, sp, want = {}, {}, set()
+    for i in range(120):
+        a, b, n = name(), name(), rng.randint(10, 60)
+        text = f"{a} sells {n} lamps to the mill in the valley and {b} keeps the rest for the winter market."
+        if i % 3 == 0:
+            text += " Nobody may count the lamps again before the bell of the old tower has rung, and how many lamps are left?"
+        slip = text.replace("valley", "vallye") if i % 2 else text.replace("sells", "selsl")
+        st |= {f"t{i}": text, f"e{i}": slip, f"c{i}": text.replace(a, name()), f"d{i}": text.replace(b, name())}
+        sp |= {f"t{i}": "train", f"e{i}": "test", f"c{i}": "train", f"d{i}": "train"}
+        want.add((f"e{i}", f"t{i}"))
+    traces = spark.createDataFrame([(k, "B", v, T1) for k, v in st.items()], "trace_id string, benchmark string, problem_statement string, ingested_at timestamp")
+    labels = spark.createDataFrame([(k, v, T1) for k, v in sp.items()], "trace_id string, split string, ingested_at timestamp")
+    texts = spark.createDataFrame([(1, i, splits_overlap.canonical(v)) for i, v in enumerate(sorted(st.values()))], "bucket bigint, n bigint, canon string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spans = []
+    for n in (1, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spans.append(sorted(map(tuple, splits_overlap.shared_spans(texts).collect())))
+    assert spans[0] == spans[1] == spans[2]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    got = {(r.trace_id_a, r.trace_id_b) for r in splits_overlap.overlapping_traces(traces, labels).collect()}
+    assert got == want
+
+
 # 7 grouped split
 
 
