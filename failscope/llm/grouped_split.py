@@ -1,29 +1,34 @@
 """Problem 7: splits that keep related records together.
 
-Records of one problem (same domain and problem id, however spelt) form a component. Components of
-equal size and equal dominant label are bundled; a min-cost flow sends the records of each bundle
-to train, validation and test, where staying within a split's quota of a label is free and going
-beyond it costs what it deviates. The flow is rounded to whole components, and the members of a
-bundle are told apart by their hash, so an assignment is repeatable and needs no order of rows.
-
-Scale: components come from one aggregation by key with map-side combine. Only bundles (size and
-label) reach the driver; their number is checked, and beyond MAX_BUNDLES sizes are merged into classes.
-Members are ranked by hash bucket counts, so that no task ever holds a whole bundle.
+Records that share an entity (a problem: same domain and problem id, however spelt; other keys, such as
+an author or a source, may be named too) form a component. Each component has a profile: its size, its
+dominant label and its records in each split of today. Components whose profile spans several splits
+are torn today. For the new splits, components of equal size and label are bundled; a min-cost flow sends
+the records of each label's bundles to train, validation and test, where staying within a split's quota of
+a label is free and going beyond it costs what it deviates. Bundles of one label have the same costs, so
+the flow runs over labels and is shared out to bundles in proportion, rounded to whole components with
+what is left over carried on from larger to smaller ones. The members of a bundle are told apart by their
+hash, so an assignment is repeatable and needs no order of rows.
+
+Scale: components of one key come from one aggregation with map-side combine, those of several keys by
+repeated neighbour minima over entities. Only bundles reach the driver; of N records with L labels there
+are at most sqrt(2 N L), since different sizes add up (a million for 10^11 records and six labels).
+Members are ranked by range-partitioned stretches, so that no task ever holds a whole bundle.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from failscope.llm.splits_overlap import components
+from failscope.operators.windows import prefix_sums
 from failscope.session import checkpointed, require, table, trim_all
 
 SPLITS = ("train", "validation", "test")
 PROPORTIONS = (0.8, 0.1, 0.1)
-MAX_BUNDLES = 3_000
-BUCKETS = 1024
 
 
 def canonical_split(col):
@@ -47,14 +52,39 @@ def labelled(labels: DataFrame) -> DataFrame:
     return first.select("trace_id", canonical_split(F.col("r.split")).alias("split"), canonical_problem(F.col("r.domain"), F.col("r.problem_id")).alias("problem"), F.col("r.action_label").alias("label"))
 
 
-def torn_records(rows: DataFrame) -> DataFrame:
+def with_components(rows: DataFrame, keys: tuple[str, ...] = ("problem",), id_col: str = "trace_id") -> DataFrame:
+    """`rows` with `component`: equal for records that share a value of any of `keys`, directly or through others.
+
+    Null values link nothing; a record without any value is a component of its own.
+    """
+    own = F.concat(F.lit("#"), F.col(id_col))
+    values = [F.when(F.col(k).isNotNull(), F.concat_ws("=", F.lit(k), F.col(k).cast("string"))) for k in keys]
+    if len(keys) == 1:
+        return rows.withColumn("component", F.coalesce(values[0], own))
+    # a graph of entities: a record links its first value with its others
+    held = rows.select(F.array_compact(F.array(*values)).alias("v")).filter(F.size("v") > 0).distinct()
+    entities = held.select(F.explode("v").alias("key")).distinct()
+    links = held.filter(F.size("v") > 1).select(F.col("v")[0].alias("key_a"), F.explode(F.slice("v", 2, len(keys))).alias("key_b")).distinct()
+    classes = components(entities, links).select(F.col("key").alias("entity_"), F.col("class_id").alias("class_"))
+    return rows.withColumn("entity_", F.coalesce(*values)).join(classes, "entity_", "left").withColumn("component", F.coalesce("class_", own)).drop("entity_", "class_")
+
+
+def profiles(keyed: DataFrame) -> DataFrame:
+    """(component, size, label, n_train, n_validation, n_test): records, dominant label, and records in each split of today."""
+    counts = [F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS]
+    per_label = keyed.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), *counts)
+    sums = [F.sum(f"n_{s}").alias(f"n_{s}") for s in SPLITS]
+    return per_label.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", F.coalesce("label", F.lit("")))).alias("label"), *sums)
+
+
+def torn_records(rows: DataFrame, keys: tuple[str, ...] = ("problem",)) -> DataFrame:
     """The records of `labelled` with a split whose component also has a record in another split.
 
-    Defined results: records without a problem or a split take no part.
+    Defined results: records without a split or without any key take no part.
     """
-    known = rows.filter("split is not null and problem is not null")
-    torn = known.groupBy("problem").agg(F.count_distinct("split").alias("n")).filter("n > 1").select("problem")
-    return known.join(torn, "problem", "left_semi")
+    keyed = with_components(rows.filter("split is not null").filter(F.coalesce(*keys).isNotNull()), keys)
+    spans = sum((F.col(f"n_{s}") > 0).cast("int") for s in SPLITS)
+    return keyed.join(profiles(keyed).filter(spans > 1).select("component"), "component", "left_semi")
 
 
 def _min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -99,9 +129,9 @@ def _min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, s
 def allocate(bundles: list[tuple[int, str | None, int]], proportions=PROPORTIONS) -> list[list[int]]:
     """Components of each bundle (size, label, number) for each split, summing to the number.
 
-    A flow from bundles over (label, split) nodes to splits; within its quota a node's arc is free,
-    beyond it costs 1 a record at a node and 3 at a split. Fractions of components are rounded
-    by what each split still lacks, larger components first.
+    A flow from labels over (label, split) nodes to splits; within its quota a node's arc is free,
+    beyond it costs 1 a record at a node and 3 at a split. Each bundle takes its part of its label's flow;
+    what larger components left lacking in a split is made up by smaller ones, and fractions are rounded by size.
     """
     k = len(proportions)
     labels = sorted({str(b[1]) for b in bundles})
@@ -109,69 +139,57 @@ def allocate(bundles: list[tuple[int, str | None, int]], proportions=PROPORTIONS
     for size, label, n in bundles:
         totals[str(label)] += size * n
     total = sum(totals.values())
-    node = {(x, s): 1 + len(bundles) + i * k + s for i, x in enumerate(labels) for s in range(k)}
-    split_node = [1 + len(bundles) + len(labels) * k + s for s in range(k)]
+    n_labels = len(labels)
+    node = {(x, s): 1 + n_labels + i * k + s for i, x in enumerate(labels) for s in range(k)}
+    split_node = [1 + n_labels * (k + 1) + s for s in range(k)]
     sink = split_node[-1] + 1
     arcs: list[tuple[int, int, int, int]] = []
-    choice: list[tuple[int, int, int]] = []
-    for i, (size, label, n) in enumerate(bundles):
-        arcs.append((0, 1 + i, size * n, 0))
+    choice: list[tuple[int, str, int]] = []
+    for i, x in enumerate(labels):
+        arcs.append((0, 1 + i, totals[x], 0))
         for s in range(k):
-            choice.append((len(arcs), i, s))
-            arcs.append((1 + i, node[str(label), s], size * n, 0))
+            choice.append((len(arcs), x, s))
+            arcs.append((1 + i, node[x, s], totals[x], 0))
     for (x, s), v in node.items():
         quota = round(proportions[s] * totals[x])
         arcs += [(v, split_node[s], quota, 0), (v, split_node[s], totals[x], 1)]
     for s in range(k):
         arcs += [(split_node[s], sink, round(proportions[s] * total), 0), (split_node[s], sink, total, 3)]
     flow = _min_cost_flow(sink + 1, arcs, 0, sink)
-    want = [[0.0] * k for _ in bundles]
-    for arc, i, s in choice:
-        want[i][s] = flow[arc]
+    share = {(x, s): flow[arc] / totals[x] for arc, x, s in choice}
     out = [[0] * k for _ in bundles]
-    lack = [0.0] * k
-    for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], str(bundles[i][1]))):
-        size, _, n = bundles[i]
-        out[i] = [int(w // size) for w in want[i]]
-        for s in range(k):
-            lack[s] += want[i][s] - out[i][s] * size
-        for _ in range(n - sum(out[i])):
-            s = max(range(k), key=lambda s: (lack[s], proportions[s]))
+    lack = {x: [0.0] * k for x in [*labels, None]}  # None: what labels lacked after their last bundle, taken over by the next bundle of any
+    order = sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], str(bundles[i][1])))
+    last = {str(bundles[i][1]): i for i in order}
+    for i in order:
+        size, label, n = bundles[i]
+        x = str(label)
+        want = [max(0.0, share[x, s] * n * size + lack[x][s] + lack[None][s]) for s in range(k)]
+        due = [share[x, s] * n * size + lack[x][s] + lack[None][s] for s in range(k)]
+        want = [w * n / sum(want) if sum(want) else n * proportions[s] for s, w in enumerate(want)]
+        out[i] = [int(w + 1e-9) for w in want]
+        for s in sorted(range(k), key=lambda s: (out[i][s] - want[s], -proportions[s]))[: n - sum(out[i])]:
             out[i][s] += 1
-            lack[s] -= size
+        lack[None] = [0.0] * k
+        lack[None if last[x] == i else x] = [due[s] - out[i][s] * size for s in range(k)]
     return out
 
 
-def assign_splits(rows: DataFrame, proportions=PROPORTIONS) -> DataFrame:
+def assign_splits(rows: DataFrame, proportions=PROPORTIONS, keys: tuple[str, ...] = ("problem",)) -> DataFrame:
     """(trace_id, problem, new_split) of every row of `labelled`; a record without a problem is a component of its own.
 
     Defined results: proportions are met as far as whole components allow, the larger the data the
     closer; ties of hash are broken by the component's key.
     """
-    keyed = rows.withColumn("component", F.coalesce("problem", F.concat(F.lit("#"), "trace_id")))
-    per_label = keyed.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    comps = per_label.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", F.coalesce("label", F.lit("")))).alias("label"))
-    comps = checkpointed(comps.withColumn("h", F.xxhash64("component")))
-    sizes = comps.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > MAX_BUNDLES:  # size classes: equal to two leading binary digits
-        half = F.greatest(F.lit(1), F.expr("cast(shiftleft(1L, cast(floor(log2(size)) as int)) / 2 as bigint)"))
-        comps = comps.withColumn("bundle_size", (F.floor(F.col("size") / half) * half).cast("bigint"))
-    else:
-        comps = comps.withColumn("bundle_size", F.col("size"))
-    bundles = [(int(r[0]), r[1], int(r[2])) for r in comps.groupBy("bundle_size", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("bundle_size", "label").collect()]
-    shares = allocate(bundles, proportions) if bundles else []
-    spark = rows.sparkSession
-    bounds = [(z, label, sum(sh[:s]), sum(sh[: s + 1]), SPLITS[s]) for (z, label, _), sh in zip(bundles, shares) for s in range(len(sh)) if sh[s]]
-    bounds = spark.createDataFrame(bounds, "bundle_size bigint, label string, lo bigint, hi bigint, new_split string")
-    comps = comps.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    counts = comps.groupBy("bundle_size", "label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("bundle_size", "label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("bundle_size", "label", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    same = lambda a, b: (a["bundle_size"] == b["bundle_size"]) & a["label"].eqNullSafe(b["label"])
-    inside = F.row_number().over(Window.partitionBy("bundle_size", "label", "bucket").orderBy("h", "component")) - 1
-    ranked = comps.withColumn("inside", inside)
-    ranked = ranked.join(starts, same(ranked, starts) & (ranked["bucket"] == starts["bucket"])).select("component", ranked["bundle_size"], ranked["label"], (F.col("start") + F.col("inside")).alias("rank"))
-    placed = ranked.join(bounds, same(ranked, bounds) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("component", "new_split")
+    keyed = with_components(rows, keys)
+    comps = profiles(keyed).select("component", "size", "label", F.coalesce(F.concat(F.lit("="), "label"), F.lit("")).alias("label_key"), F.xxhash64("component").alias("h"))
+    comps = checkpointed(comps)
+    bundles = [(int(r[0]), r[1], int(r[2]), r[3]) for r in comps.groupBy("size", "label", "label_key").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "label_key").select("size", "label", "n", "label_key").toLocalIterator()]
+    shares = allocate([b[:3] for b in bundles], proportions) if bundles else []
+    bounds = [(z, key, sum(sh[:s]), sum(sh[: s + 1]), SPLITS[s]) for (z, _, _, key), sh in zip(bundles, shares) for s in range(len(sh)) if sh[s]]
+    bounds = rows.sparkSession.createDataFrame(bounds, "size bigint, label_key string, lo bigint, hi bigint, new_split string")
+    ranked = prefix_sums(comps.drop("label"), ["size", "label_key"], ["h", "component"], [])
+    placed = ranked.join(bounds, ["size", "label_key"]).filter((F.col("k") > F.col("lo")) & (F.col("k") <= F.col("hi"))).select("component", "new_split")
     return keyed.join(placed, "component").select("trace_id", "problem", "new_split")
 
 

@@ -236,11 +236,17 @@ def test_overlap_is_the_same_for_any_partitioning(spark):
 
 def test_allocation_is_whole_and_near_quotas():
     bundles = [(1, "A", 700), (2, "A", 60), (3, "B", 50), (1, "B", 100), (90, "A", 1), (7, None, 9)]
+    many = [(z, "AB"[z % 2], 1 + z % 3) for z in range(1, 9000)]  # no sizes are merged, however many there are
+    for bundles, off in ((bundles, 10), (many, 10)):
+        _check_allocation(bundles, off)
+
+
+def _check_allocation(bundles, off):
     out = grouped_split.allocate(bundles)
     assert all(sum(o) == b[2] and min(o) >= 0 for o, b in zip(out, bundles))
     total = sum(b[0] * b[2] for b in bundles)
     for s, p in enumerate(grouped_split.PROPORTIONS):
-        assert abs(sum(o[s] * b[0] for o, b in zip(out, bundles)) - p * total) <= 10
+        assert abs(sum(o[s] * b[0] for o, b in zip(out, bundles)) - p * total) <= off
 
 
 def test_min_cost_flow_is_optimal():
@@ -264,6 +270,17 @@ def test_grouped_split_frame(spark):
     assert grouped_split.assign_splits(lab.limit(0)).count() == 0 and grouped_split.torn_records(lab.limit(0)).count() == 0
 
 
+def test_components_of_several_keys(spark):
+    """Records that share a problem or a domain, directly or through others, stay together; nulls link nothing."""
+    rows = [("a", "train", "p1", None), ("b", "test", "p1", "x"), ("c", "train", "p2", "x"), ("d", "train", "p3", "y"), ("e", None, None, "y"), ("f", "dev", None, None), ("g", "train", None, None)]
+    df = spark.createDataFrame([(i, s, p, a, "L") for i, s, p, a in rows], "trace_id string, split string, problem string, author string, label string")
+    keyed = {r.trace_id: r.component for r in grouped_split.with_components(df, ("problem", "author")).collect()}
+    assert keyed["a"] == keyed["b"] == keyed["c"] != keyed["d"] == keyed["e"] and len({keyed[x] for x in "adfg"}) == 4
+    assert sorted(r.trace_id for r in grouped_split.torn_records(df, ("problem", "author")).collect()) == ["a", "b", "c"]
+    new = {r.trace_id: r.new_split for r in grouped_split.assign_splits(df, keys=("problem", "author")).collect()}
+    assert len(new) == 7 and new["a"] == new["b"] == new["c"] and new["d"] == new["e"]
+
+
 # 8 encoding
 
 
