@@ -1,35 +1,42 @@
 """Problem 3: consensus from several annotators' labels.
 
 A community confusion model: each annotator belongs to a latent community, communities have
-Dirichlet confusion matrices, and an annotator's own matrix is drawn around its community's. The
-variational updates alternate items' label posteriors, community memberships, community
-matrices and annotators' matrices, so that an annotator with few labels keeps close to its
-community. Annotators who copy each other are not independent: for each pair the rate of copying
-is estimated from how often both give the same wrong label, and a copied vote counts once. (Copying
-annotators who outvote all careful ones can't be told from them by any model without known labels.)
-
-Scale: items with equal votes have equal posteriors, so the items are aggregated to distinct vote
-patterns first (map-side combine). Of A annotators and L labels there are at most (L + 1)^A
-patterns, 117,649 here, whatever the number of items; this bound is checked before they are
-collected. Posteriors go back to the items by a join on the pattern.
+Dirichlet confusion matrices, and an annotator's own matrix has a Dirichlet prior around its
+community's. The variational updates alternate the items' label posteriors with the posteriors of
+memberships, community matrices and annotators' matrices, whose expected logarithms (digamma) weigh the
+votes, until the matrices stand still. So an annotator with few labels keeps close to its community.
+Annotators who copy each other are not independent: for each pair the rate of copying is estimated from
+how often both give the same wrong label, and a copied vote counts once. (Copying annotators who outvote
+all careful ones can't be told from them by any model without known labels.)
+
+Scale: all that the updates need of the items are sums (a few numbers for each pair of annotators), and
+items with equal votes have equal posteriors, so the items are aggregated to distinct vote patterns first
+(map-side combine). Up to MAX_PATTERNS distinct patterns, counted, are collected and summed on the
+driver; beyond that each update is a distributed sum over the patterns, of which a task returns one row.
+Labels are given to the items in one narrow pass with the fitted matrices.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.session import require, table
+from failscope.session import checkpointed, require, table
 
 #: The actions.
 ACTIONS = ("LOCAL_REPAIR", "RETRY", "REPLAN", "RETRIEVE_MORE", "TOOL_FIX", "ESCALATE")
 ANNOTATORS = ("P1", "P2", "P3", "P4", "P5", "P6")
 MAX_PATTERNS = 200_000
-COMMUNITIES, ITERATIONS = 4, 60
+#: updates at most, and the change of the matrices below which they end
+COMMUNITIES, ITERATIONS, STILL = 4, 100, 1e-6
+#: updates during which memberships are kept soft, so that early mistakes can be undone, and before copying is estimated
+SOFT, LATER = 30, 5
 #: pseudo-labels per row that tie an annotator's matrix to its community's
 TIE = 20.0
 _SQUEEZED = {a.replace("_", ""): i for i, a in enumerate(ACTIONS)}
@@ -86,98 +93,152 @@ def vote_patterns(audit: DataFrame, annotators=ANNOTATORS) -> DataFrame:
     return first.select("trace_id", F.array(*[label_numbers(F.col(f"r.{a}")) for a in annotators]).alias("pattern"))
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of ln Gamma for positive numbers: recurrence up to six, then the asymptotic series."""
+    x = np.array(x, dtype=float)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        small = x < 6
+        out = np.where(small, out - 1 / x, out)
+        x = np.where(small, x + 1, x)
+    f = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
+
+
+def _expected_log(alpha: np.ndarray) -> np.ndarray:
+    """E[log p] of Dirichlet distributions along the last axis."""
+    return digamma(alpha) - digamma(alpha.sum(-1, keepdims=True))
+
+
 class CommunityModel:
-    """Variational estimate over distinct vote patterns V (n x A, -1 for no vote) that occur w times."""
+    """Variational estimate from votes V (n x A, -1 for no vote) that occur w times.
 
-    def __init__(self, votes: np.ndarray, weights: np.ndarray, n_labels: int = len(ACTIONS), communities: int = COMMUNITIES, iterations: int = ITERATIONS) -> None:
-        self.v, self.w, self.k = votes, weights.astype(float), n_labels
-        n, a = votes.shape
+    `statistics` gives the sums over all items for the present matrices; by default they are made from
+    votes and weights at hand.
+    """
+
+    def __init__(self, votes: np.ndarray, weights: np.ndarray, n_labels: int = len(ACTIONS), communities: int = COMMUNITIES, iterations: int = ITERATIONS, statistics: Callable[[CommunityModel], np.ndarray] | None = None) -> None:
+        a, k = votes.shape[1], n_labels
+        self.a, self.k, self.log_conf = a, k, None
+        self.copy = np.zeros((a, a))
+        statistics = statistics or (lambda m: m.sums(votes, weights))
+        own, base, _ = self._unpacked(statistics(self))
+        empty = base.sum() <= 0
         c = min(communities, a)
-        given = votes >= 0
-        counts = np.zeros((n, n_labels))
-        for j in range(a):
-            m = given[:, j]
-            counts[np.flatnonzero(m), votes[m, j]] += 1
-        self.post = (counts + 0.01) / (counts + 0.01).sum(1, keepdims=True)
         # communities start from annotators ranked by their agreement with the majority
-        own = np.stack([self._tally(j) for j in range(a)]) if n else np.zeros((a, n_labels, n_labels))
         agree = np.array([np.trace(o) / max(o.sum(), 1e-9) for o in own])
-        order = np.argsort(-agree)
-        member = np.full((a, c), 0.1 / c)
-        for rank, j in enumerate(order):
-            member[j, rank * c // a] += 0.9
-        self.copy = np.zeros((a, a))
-        for it in range(iterations if n else 0):
-            own = np.stack([self._tally(j) for j in range(a)])
-            prior = np.eye(n_labels) * 2 + 0.5
-            community = prior + np.einsum("ac,akl->ckl", member, own)
-            shared = community / community.sum(2, keepdims=True)
-            score = np.einsum("akl,ckl->ac", own, np.log(shared)) + np.log(member.mean(0) + 1e-9)
-            # memberships sharpen slowly, so that early mistakes can be undone
-            score = score / max(1.0, own.sum() / a / 50.0) if it < iterations // 2 else score
-            member = np.exp(score - score.max(1, keepdims=True))
-            member /= member.sum(1, keepdims=True)
-            centre = np.einsum("ac,ckl->akl", member, shared)
-            self.confusion = (own + TIE * centre) / (own + TIE * centre).sum(2, keepdims=True)
-            base = np.einsum("n,nk->k", self.w, self.post) + 1.0
-            log_post = np.tile(np.log(base / base.sum()), (n, 1))
-            if it >= 5:
-                self._estimate_copying()
-            # votes in order of care; a vote that an earlier annotator's vote explains counts by what is left of it
-            care = np.argsort(-np.einsum("akk->a", self.confusion))
-            for pos, j in enumerate(care):
-                m = np.flatnonzero(given[:, j])
-                lik = self.confusion[j][:, votes[m, j]].T
-                best = np.zeros(len(m))
-                for i in care[:pos]:
-                    same = (votes[m, i] == votes[m, j]) & given[m, i]
-                    best = np.where(same, np.maximum(best, self.copy[i, j]), best)
-                log_post[m] += np.log(best[:, None] + (1 - best[:, None]) * lik)
-            self.post = np.exp(log_post - log_post.max(1, keepdims=True))
-            self.post /= self.post.sum(1, keepdims=True)
-        self.member = member
-        if not n:
-            self.confusion = np.tile(np.eye(n_labels), (a, 1, 1))
-
-    def _tally(self, j: int) -> np.ndarray:
-        """Expected counts of (true label, label given by annotator j)."""
-        m = self.v[:, j] >= 0
-        out = np.full((self.k, self.k), 1e-6)
-        np.add.at(out.T, self.v[m, j], self.post[m] * self.w[m, None])
-        return out
-
-    def _estimate_copying(self) -> None:
+        self.member = np.full((a, c), 0.1 / c)
+        for rank, j in enumerate(np.argsort(-agree)):
+            self.member[j, rank * c // a] += 0.9
+        self.confusion = np.tile(np.eye(k), (a, 1, 1))
+        self.base = np.full(k, 1 / k)
+        self.iterations = 0
+        while not empty and self.iterations < iterations:
+            before = self.confusion
+            self._update(own, base)
+            own, base, pairs = self._unpacked(statistics(self))
+            if self.iterations >= LATER:
+                self._estimate_copying(*pairs)
+            self.iterations += 1
+            if self.iterations > SOFT + LATER and np.abs(self.confusion - before).max() < STILL:
+                break
+        self.post = self.posteriors(votes)
+
+    def _update(self, own: np.ndarray, base: np.ndarray) -> None:
+        """Posteriors of communities, memberships, annotators and the labels' shares, from expected counts."""
+        k = self.k
+        alpha = np.eye(k) * 2 + 0.5 + np.einsum("ac,akl->ckl", self.member, own)
+        mix = digamma(self.member.sum(0) + 1 / self.member.shape[1]) - digamma(np.array(self.a + 1.0))
+        score = np.einsum("akl,ckl->ac", own, _expected_log(alpha)) + mix
+        if self.iterations < SOFT:
+            score = score / max(1.0, own.sum() / self.a / 50.0)
+        self.member = np.exp(score - score.max(1, keepdims=True))
+        self.member /= self.member.sum(1, keepdims=True)
+        centre = np.einsum("ac,ckl->akl", self.member, alpha / alpha.sum(2, keepdims=True))
+        tied = own + TIE * centre
+        self.confusion = tied / tied.sum(2, keepdims=True)
+        self.log_conf = _expected_log(tied)
+        self.log_base = _expected_log(base + 1.0)
+        self.base = (base + 1.0) / (base + 1.0).sum()
+
+    def posteriors(self, votes: np.ndarray) -> np.ndarray:
+        """Label posteriors of vote patterns; shares of the votes before the first update."""
+        n = len(votes)
+        if self.log_conf is None:
+            counts = np.full((n, self.k), 0.01)
+            for j in range(self.a):
+                m = np.flatnonzero(votes[:, j] >= 0)
+                counts[m, votes[m, j]] += 1
+            return counts / counts.sum(1, keepdims=True)
+        log_post = np.tile(self.log_base, (n, 1))
+        # votes in order of care; a vote that an earlier annotator's vote explains counts by what is left of it
+        care = np.argsort(-np.einsum("akk->a", self.confusion))
+        for pos, j in enumerate(care):
+            m = np.flatnonzero(votes[:, j] >= 0)
+            lik = np.exp(self.log_conf[j])[:, votes[m, j]].T
+            best = np.zeros(len(m))
+            for i in care[:pos]:
+                best = np.where(votes[m, i] == votes[m, j], np.maximum(best, self.copy[i, j]), best)
+            log_post[m] += np.log(best[:, None] + (1 - best[:, None]) * lik)
+        post = np.exp(log_post - log_post.max(1, keepdims=True))
+        return post / post.sum(1, keepdims=True)
+
+    def sums(self, votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What an update needs of these items: expected counts of (annotator, true label, given label), of labels, and of wrong labels that pairs share."""
+        a, k = self.a, self.k
+        post = self.posteriors(votes) * np.asarray(weights, dtype=float)[:, None]
+        own = np.zeros((a, k, k))
+        pairs = np.zeros((3, a, a))
+        for j in range(a):
+            m = votes[:, j] >= 0
+            np.add.at(own[j].T, votes[m, j], post[m])
+        if self.log_conf is not None:
+            for i in range(a):
+                wrong = post.copy()
+                has = np.flatnonzero(votes[:, i] >= 0)
+                wrong[has, votes[has, i]] = 0.0
+                for j in range(a):
+                    if i != j:
+                        m = has[votes[has, j] >= 0]
+                        vi, w = votes[m, i], wrong[m]
+                        pairs[:, i, j] = (w.sum(1) * (vi == votes[m, j])).sum(), (w * self.confusion[j][:, vi].T).sum(), w.sum()
+        return np.concatenate([own.ravel(), post.sum(0), pairs.ravel()])
+
+    def _unpacked(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, k = self.a, self.k
+        n = a * k * k
+        return flat[:n].reshape(a, k, k) + 1e-6, flat[n : n + k], flat[n + k :].reshape(3, a, a)
+
+    def _estimate_copying(self, seen: np.ndarray, expected: np.ndarray, total: np.ndarray) -> None:
         """copy[i, j]: the share of j's votes that repeat i's, beyond what their matrices explain, from where i's label is wrong."""
-        a = self.v.shape[1]
-        for i in range(a):
-            for j in range(a):
-                if i == j:
-                    continue
-                m = (self.v[:, i] >= 0) & (self.v[:, j] >= 0)
-                vi, vj = self.v[m, i], self.v[m, j]
-                wrong = self.post[m].copy()
-                wrong[np.arange(len(vi)), vi] = 0.0
-                wrong *= self.w[m, None]
-                seen = (wrong.sum(1) * (vi == vj)).sum()
-                expected = (wrong * self.confusion[j][:, vi].T).sum()
-                total = wrong.sum()
-                rate = (seen - expected) / max(total - expected, 1e-9) if total > 5 else 0.0
-                self.copy[i, j] = min(max(rate, 0.0), 0.99) if rate > 0.2 else 0.0
+        rate = np.where(total > 5, (seen - expected) / np.maximum(total - expected, 1e-9), 0.0)
+        self.copy = np.where(rate > 0.2, np.clip(rate, 0.0, 0.99), 0.0)
 
     def reliability(self) -> np.ndarray:
-        base = np.einsum("n,nk->k", self.w, self.post) + 1e-9
-        return np.einsum("akk,k->a", self.confusion, base / base.sum())
+        return np.einsum("akk,k->a", self.confusion, self.base)
+
+
+def fit(patterns: DataFrame, annotators=ANNOTATORS) -> CommunityModel:
+    """The model over the distinct patterns of `vote_patterns`: summed on the driver up to MAX_PATTERNS of them, else by the tasks."""
+    distinct = checkpointed(patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    shape = (-1, len(annotators))
+    if distinct.count() <= MAX_PATTERNS:
+        rows = sorted((list(r[0]), r[1]) for r in distinct.collect())
+        return CommunityModel(np.array([p for p, _ in rows], dtype=int).reshape(shape), np.array([n for _, n in rows]))
 
+    def distributed(model: CommunityModel) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                votes = np.array(b.column(0).to_pylist(), dtype=int).reshape(shape)
+                part = model.sums(votes, b.column(1).to_numpy())
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-def fit(patterns: DataFrame, annotators=ANNOTATORS) -> tuple[list[tuple[list[int], int]], CommunityModel]:
-    """The model over the distinct patterns of `vote_patterns`, whose number is checked before they are collected."""
-    distinct = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    most = (len(ACTIONS) + 1) ** len(annotators)
-    if most > MAX_PATTERNS:
-        raise ValueError(f"{len(annotators)} annotators can give {most} vote patterns; the bound is {MAX_PATTERNS}")
-    rows = sorted((list(r[0]), r[1]) for r in distinct.collect())
-    votes = np.array([p for p, _ in rows], dtype=int).reshape(len(rows), len(annotators))
-    return rows, CommunityModel(votes, np.array([n for _, n in rows]))
+        return np.sum([r[0] for r in distinct.mapInArrow(run, "s array<double>").collect()], axis=0)  # one short row a task
+
+    return CommunityModel(np.zeros((0, len(annotators)), dtype=int), np.zeros(0), statistics=distributed)
 
 
 def consensus(audit: DataFrame, annotators=ANNOTATORS) -> DataFrame:
@@ -188,20 +249,27 @@ def consensus(audit: DataFrame, annotators=ANNOTATORS) -> DataFrame:
     the most frequent consensus; equal posteriors go to the earlier action of ACTIONS; repeated
     rows count once (the earliest); an empty table gives no rows.
     """
-    patterns = vote_patterns(audit, annotators)
-    rows, model = fit(patterns, annotators)
-    out = []
-    for (p, _), post in zip(rows, model.post):
-        best = int(np.argmax(post))
-        votes = [x for x in p if x >= 0]
-        out.append((p, ACTIONS[best], float(round(post[best], 6)), float(votes.count(best) / len(votes)) if votes else None))
-    table_ = patterns.sparkSession.createDataFrame(out, "pattern array<tinyint>, label string, confidence double, agreement double")
-    return patterns.join(table_, "pattern").select("trace_id", "label", "confidence", "agreement")
+    patterns = checkpointed(vote_patterns(audit, annotators))
+    model = fit(patterns, annotators)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = np.array(b.column(1).to_pylist(), dtype=int).reshape(-1, len(annotators))
+            post = model.posteriors(votes)
+            best = np.argmax(np.round(post, 9), axis=1) if len(post) else np.zeros(0, int)
+            n = (votes >= 0).sum(1)
+            same = (votes == best[:, None]).sum(1)
+            agreement = pa.array([s / m if m else None for s, m in zip(same.tolist(), n.tolist())], pa.float64())
+            names = pa.array([ACTIONS[x] for x in best.tolist()], pa.string())
+            confidence = pa.array([round(float(post[i, x]), 6) for i, x in enumerate(best.tolist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), names, confidence, agreement], names=["trace_id", "label", "confidence", "agreement"])
+
+    return patterns.mapInArrow(label, "trace_id string, label string, confidence double, agreement double")
 
 
 def annotator_reliability(audit: DataFrame, annotators=ANNOTATORS) -> DataFrame:
     """(annotator, reliability, community, copies): expected share of right labels, community, and the annotator it copies most, if any."""
-    _, model = fit(vote_patterns(audit, annotators), annotators)
+    model = fit(vote_patterns(audit, annotators), annotators)
     r = model.reliability()
     out = []
     for j, a in enumerate(annotators):

@@ -175,6 +175,27 @@ def test_consensus_frame(spark):
     assert consensus.annotator_reliability(df.limit(0)).count() == 6
 
 
+def test_consensus_beyond_the_bound_is_summed_by_tasks(spark):
+    rng = random.Random(7)
+    rows = [(f"t{i}", *[rng.choice([a] * 6 + [None, "RETRY", "ESCALATE"]) for _ in range(7)], T1) for i, a in ((i, consensus.ACTIONS[i % 6]) for i in range(300))]
+    seven = [f"P{j}" for j in range(1, 8)]
+    df = spark.createDataFrame(rows, "trace_id string, " + ", ".join(f"{c} string" for c in seven) + ", audited_at timestamp")
+    near = {r.trace_id: (r.label, r.agreement) for r in consensus.consensus(df, seven).collect()}
+    bound, rounds = consensus.MAX_PATTERNS, consensus.CommunityModel.__init__.__defaults__
+    try:
+        consensus.MAX_PATTERNS = 10
+        consensus.CommunityModel.__init__.__defaults__ = (*rounds[:2], 12, rounds[3])
+        far = {r.trace_id: (r.label, r.agreement) for r in consensus.consensus(df, seven).collect()}
+    finally:
+        consensus.MAX_PATTERNS, consensus.CommunityModel.__init__.__defaults__ = bound, rounds
+    assert sum(near[k] == far[k] for k in near) >= 298 and len(far) == 300
+    assert sum(near[f"t{i}"][0] == consensus.ACTIONS[i % 6] for i in range(300)) >= 290
+
+
+def test_digamma():
+    assert abs(consensus.digamma(np.array(1.0)) + 0.5772156649015329) < 1e-9 and abs(consensus.digamma(np.array(0.5)) + 1.9635100260214235) < 1e-8 and abs(consensus.digamma(np.array(30.0)) - 3.384438142) < 1e-8
+
+
 # 4 overlap
 
 
