@@ -11,10 +11,19 @@ from failscope.session import table, trim_all
 
 #: The actions, longest name first as texts are searched for them.
 ACTIONS = ["RETRIEVE_MORE", "LOCAL_REPAIR", "TOOL_FIX", "ESCALATE", "REPLAN", "RETRY"]
-#: Slips of labels that are put right before a label is looked up.
-LABEL_SLIPS = {"LOCAL_REPIAR": "LOCAL_REPAIR", "RETREIVE_MORE": "RETRIEVE_MORE", "REPLNA": "REPLAN", "RETYR": "RETRY"}
-#: Spellings of domains.
-DOMAIN_NAMES = {"gsm8k": "GSM8K", "mbpp": "MBPP", "sealqa": "SealQA", "browsecomp": "BrowseComp", "medbrowsecomp": "MedBrowseComp", "humaneval": "Humaneval", "gridpuzzle": "GridPuzzle"}
+#: Slips of labels that are put right wherever they stand, in this order.
+LABEL_SLIPS = {"ESCELATE": "ESCALATE", "REPPLAN": "REPLAN", "REPAN": "REPLAN"}
+#: Spellings of domains in lower case.
+DOMAIN_NAMES = {
+    "gsm8k": "GSM8K",
+    "mbpp": "MBPP",
+    "sealqa": "SealQA",
+    "sealqa hard": "SealQA",
+    "medbrowse": "MedBrowseComp",
+    "medbrowsecomp": "MedBrowseComp",
+    "browsecomp": "BrowseComp",
+    "humaneval": "Humaneval",
+}
 
 
 def truncate(col, n: int, marker: str = "... [truncated]"):
@@ -34,23 +43,30 @@ def clean_lines(col):
 
 
 def benchmark_of(experiment):
-    """Experiment names that start with ablation_ name the benchmark after their type."""
-    return F.when(experiment.startswith("ablation_"), F.regexp_replace(experiment, r"^ablation_(?:minimality|nogold)_", "")).otherwise(experiment)
+    """The experiment's name; names that start with ablation_ lose the two known prefixes wherever they stand. Null for an empty name."""
+    plain = F.replace(F.replace(experiment, F.lit("ablation_minimality_"), F.lit("")), F.lit("ablation_nogold_"), F.lit(""))
+    return F.when(F.length(experiment) > 0, F.when(experiment.startswith("ablation_"), plain).otherwise(experiment))
 
 
 def domain_of(col):
+    """The domain that a benchmark's name stands for; unknown names pass through, an empty one gives null."""
     names = F.create_map(*[F.lit(x) for kv in DOMAIN_NAMES.items() for x in kv])
-    return F.coalesce(F.element_at(names, F.lower(trim_all(col))), trim_all(col))
+    return F.when(F.length(col) > 0, F.coalesce(F.element_at(names, F.lower(col)), col))
 
 
 def ablation_of(experiment):
-    return F.when(~experiment.startswith("ablation_"), F.lit(None).cast("string")).when(experiment.contains("minimality"), "minimality").when(experiment.contains("nogold"), "nogold").otherwise(F.try_element_at(F.split(experiment, "_", 3), F.lit(2)))
+    """minimality, nogold, or the second part of another ablation's name; null for what is no ablation."""
+    known = F.when(experiment.startswith("ablation_minimality_"), "minimality").when(experiment.startswith("ablation_nogold_"), "nogold")
+    return known.when(experiment.startswith("ablation_"), F.try_element_at(F.split(experiment, "_", 3), F.lit(2)))
 
 
 def normal_label(col):
-    """Upper case, first of a slash list, known slips put right, and null for what is no action."""
-    known = {a: a for a in ACTIONS} | LABEL_SLIPS
-    return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.upper(trim_all(F.split_part(col, F.lit("/"), F.lit(1)))))
+    """Upper case, known slips put right, first of a slash list, and null for what is no action."""
+    up = F.upper(col)
+    for slip, label in LABEL_SLIPS.items():
+        up = F.replace(up, F.lit(slip), F.lit(label))
+    first = trim_all(F.split_part(up, F.lit("/"), F.lit(1)))
+    return F.when(first.isin(ACTIONS), first)
 
 
 def parse_action(col):
@@ -117,8 +133,14 @@ def entry_point(col):
     return F.nullif(F.regexp_extract(col, r"assert\s+(\w+)\s*\(", 1), F.lit(""))
 
 
+def class_names(col):
+    """The names of the classes that a code defines, in order."""
+    return F.regexp_extract_all(col, F.lit(r"(?m)^class\s+(\w+)"), 1)
+
+
 def problem_number(col):
-    return F.try_element_at(F.split(col, r"[-_]"), F.lit(-1)).try_cast("int")
+    """The number after the last hyphen of an id; null where none stands there."""
+    return F.try_element_at(F.split(col, "-"), F.lit(-1)).try_cast("int")
 
 
 def exact_match(a, b):
@@ -235,7 +257,7 @@ def _one(spark, d, name, key):
 def text_scalars(spark: SparkSession, d: str) -> DataFrame:
     t = _one(spark, d, "traces", "trace_id")
     return t.select(
-        "trace_id", truncate(F.col("problem_statement"), 60).alias("short"), head_tail(F.col("problem_statement"), 80).alias("ends"), domain_of(F.lower("domain")).alias("domain_name"),
+        "trace_id", truncate(F.col("problem_statement"), 60).alias("short"), head_tail(F.col("problem_statement"), 80).alias("ends"), domain_of(F.regexp_replace(F.lower("domain"), "comp$", "")).alias("domain_name"),
         normal_text(F.col("final_answer")).alias("normal"), last_number(F.col("final_answer")).alias("number"), safe_name(F.col("problem_id")).alias("safe"), problem_number(F.col("problem_id")).alias("number_of"),
         exact_match(F.col("gold_answer"), F.col("final_answer")).alias("exact"), code_block(F.col("final_answer")).alias("code"), F.length(clean_lines(F.col("final_answer"))).alias("n_clean"),
         F.sha2("trace_id", 256).alias("sha"), F.get_json_object(F.lit('{"a": [1, {"b": "x"}]}'), "$.a[1].b").alias("json"),
@@ -283,12 +305,14 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '',
 _NUM = r"try_cast(replace(list_extract(regexp_extract_all({0}, '(-?\d[\d,]*\.?\d*)', 1), -1), ',', '') as double)"
 _OVER = f"len(list_intersect(list_distinct(string_split({_NORM.format('gold_answer')}, ' ')), list_distinct(string_split({_NORM.format('final_answer')}, ' ')))) * 1.0 / len(list_distinct(string_split({_NORM.format('gold_answer')}, ' ')))"
 _LABEL = lambda c: f"case when x_{c} in ({', '.join(repr(a) for a in ACTIONS)}) then x_{c} end"
-_SLIP = lambda c: "case upper(regexp_replace(split_part({0}, '/', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) ".format(c) + " ".join(f"when '{a}' then '{b}'" for a, b in LABEL_SLIPS.items()) + " else upper(regexp_replace(split_part({0}, '/', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) end".format(c)
+# the oracle's own constants, written apart from those of the functions
+_SLIP = lambda c: f"regexp_replace(split_part(replace(replace(replace(upper({c}), 'ESCELATE', 'ESCALATE'), 'REPPLAN', 'REPLAN'), 'REPAN', 'REPLAN'), '/', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_DOMAIN = "case lower({0}) when 'gsm8k' then 'GSM8K' when 'mbpp' then 'MBPP' when 'sealqa' then 'SealQA' when 'sealqa hard' then 'SealQA' when 'medbrowse' then 'MedBrowseComp' when 'medbrowsecomp' then 'MedBrowseComp' when 'browsecomp' then 'BrowseComp' when 'humaneval' then 'Humaneval' else nullif({0}, '') end"
 SQL = {
     "text_scalars": _T + f"""select trace_id, case when length({_STRIP.format('problem_statement')}) > 60 then left({_STRIP.format('problem_statement')}, 60) || '... [truncated]' else {_STRIP.format('problem_statement')} end short,
-      case when length(problem_statement) > 80 then left(problem_statement, 40) || chr(10) || '...' || chr(10) || right(problem_statement, 40) else problem_statement end ends, domain domain_name,
+      case when length(problem_statement) > 80 then left(problem_statement, 40) || chr(10) || '...' || chr(10) || right(problem_statement, 40) else problem_statement end ends, {_DOMAIN.format("regexp_replace(lower(domain), 'comp$', '')")} domain_name,
       {_NORM.format('final_answer')} normal, {_NUM.format('final_answer')} "number", regexp_replace(problem_id, '[^A-Za-z0-9_.-]+', '_', 'g') safe,
-      try_cast(list_extract(string_split_regex(problem_id, '[-_]'), -1) as int) number_of, cast({_STRIP.format('gold_answer')} = {_STRIP.format('final_answer')} as int) exact,
+      try_cast(list_extract(string_split(problem_id, '-'), -1) as int) number_of, cast({_STRIP.format('gold_answer')} = {_STRIP.format('final_answer')} as int) exact,
       case when regexp_extract(final_answer, '(?s)```(?:python)?\\n(.*?)```', 1) <> '' then regexp_extract(final_answer, '(?s)```(?:python)?\\n(.*?)```', 1) else {_STRIP.format('final_answer')} end code,
       length({_STRIP.format("regexp_replace(final_answer, chr(13) || chr(10) || '?', chr(10), 'g')")}) n_clean, sha256(trace_id) sha, 'x' as json from t""",
     "answer_checks": _T + f"""select domain, count(*) n, sum(cast(coalesce(length({_STRIP.format('gold_answer')}) > 0 and length({_STRIP.format('final_answer')}) > 0 and
@@ -296,7 +320,7 @@ SQL = {
         when domain in ('MBPP', 'Humaneval') then case when length({_NORM.format('gold_answer')}) <= 30 then contains({_NORM.format('final_answer')}, {_NORM.format('gold_answer')}) else {_OVER} >= 0.7 end
         else contains({_NORM.format('final_answer')}, {_NORM.format('gold_answer')}) or {_OVER} >= 0.8 end, false) as int)) n_ok from t group by 1""",
     "label_normalisation": f"select distinct trace_num, {_LABEL('p1')} p1, {_LABEL('p5')} p5, case " + " ".join(f"when contains(upper(coalesce(P1, '')), '{a}') then '{a}'" for a in ACTIONS) + f" else 'UNKNOWN' end named from (select *, {_SLIP('P1')} x_p1, {_SLIP('P5')} x_p5 from human_vs_llm_audit)",
-    "experiment_names": _T + "select run_id, case when starts_with(experiment_name, 'ablation_') then regexp_replace(experiment_name, '^ablation_(?:minimality|nogold)_', '') else experiment_name end benchmark_name, case when not starts_with(experiment_name, 'ablation_') then null when contains(experiment_name, 'minimality') then 'minimality' when contains(experiment_name, 'nogold') then 'nogold' else split_part(experiment_name, '_', 2) end ablation_name, coalesce(nullif(stats_fixed, 0), nullif(stats_total, 0)) first_set from r",
+    "experiment_names": _T + "select run_id, case when starts_with(experiment_name, 'ablation_') then replace(replace(experiment_name, 'ablation_minimality_', ''), 'ablation_nogold_', '') else nullif(experiment_name, '') end benchmark_name, case when starts_with(experiment_name, 'ablation_minimality_') then 'minimality' when starts_with(experiment_name, 'ablation_nogold_') then 'nogold' when starts_with(experiment_name, 'ablation_') then split_part(experiment_name, '_', 2) end ablation_name, coalesce(nullif(stats_fixed, 0), nullif(stats_total, 0)) first_set from r",
     "search_queries": _T + f""", q as (select trace_id, step_index, step_uid, coalesce({', '.join("nullif(" + _STRIP.format(f"json_extract_string(try_cast(tool_args_json as json), '$.{k}')") + ", '')" for k in ('query', 'q', 'input'))}) q from s where step_type = 'tool_call' and tool_name = 'web_search'),
       f as (select trace_id, q, min((coalesce(step_index, -1), step_uid)) o from q where q is not null group by 1, 2) select trace_id, string_agg(q, '|' order by o) queries, count(*) n from f group by 1""",
     "tool_error_reports": _T + """select trace_id, coalesce(string_agg('Step ' || step_index || ' tool ' || coalesce(tool_name, '?') || chr(10) || left(coalesce(tool_output_json, ''), 200), chr(10) || chr(10) order by step_index, step_uid) filter (where tool_call_result = 0), 'no failed tool calls') report from s group by 1""",

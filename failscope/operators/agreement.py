@@ -32,17 +32,19 @@ def majority(df: DataFrame, key: str, raters: list[str]) -> DataFrame:
 
 
 def kappa(pairs: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """Cohen's kappa of two label columns by group: 1 where chance agreement is full; rows with a null side are left out."""
-    cells = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*group, a, b).agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy(*group)
-    cells = cells.withColumn("t", F.sum("n").over(total))
+    """Cohen's kappa of two label columns by group: 1 where chance agreement is full, 0 where no row has both labels; rows with a null side don't count."""
+    every = pairs.groupBy(*group, a, b).agg(F.count(F.lit(1)).alias("n"))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    cells = every.withColumn("n", F.when(both, F.col("n")).otherwise(0))
+    cells = cells.withColumn("t", F.sum("n").over(Window.partitionBy(*group)))  # at most one row a pair of labels
+    seen = cells.groupBy(*group).agg(F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"), F.max("t").alias("n"))
+    cells = cells.filter("n > 0")
     row = cells.groupBy(*group, F.col(a).alias("label")).agg(F.sum("n").alias("na"), F.max("t").alias("t"))
     col = cells.groupBy(*group, F.col(b).alias("label")).agg(F.sum("n").alias("nb"))
     chance = row.join(col, [*group, "label"]).groupBy(*group).agg(F.sum(F.col("na") * F.col("nb") / (F.col("t") * F.col("t"))).alias("pe"))
-    seen = cells.groupBy(*group).agg(F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("same"), F.max("t").alias("n"))
     pe = F.coalesce("pe", F.lit(0.0))
-    po = F.col("same") / F.col("n")
-    k = F.when(pe >= 1.0, 1.0).otherwise((po - pe) / (1 - pe))
+    po = F.coalesce(F.try_divide(F.col("same").cast("double"), F.col("n").cast("double")), F.lit(0.0))
+    k = F.when(F.col("n") == 0, 0.0).when(pe >= 1.0, 1.0).otherwise(F.try_divide(po - pe, 1 - pe))
     return seen.join(chance, group, "left").select(*group, "n", F.round(po, 6).alias("observed"), F.round(k, 6).alias("kappa"))
 
 
@@ -86,8 +88,10 @@ def calibration(df: DataFrame, confidence: str, correct: str, bins: int = 10) ->
 
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
-    """One row a trace (repeated rows are equal)."""
-    return table(spark, d, "human_vs_llm_audit").dropDuplicates(["trace_num"])
+    """One row a trace, its earliest."""
+    cells = [*RATERS, *LLMS]
+    rows = table(spark, d, "human_vs_llm_audit").select("trace_num", "audited_at", *cells)
+    return rows.groupBy("trace_num").agg(F.min_by(F.struct(*cells), F.struct("audited_at", *cells)).alias("r")).select("trace_num", "r.*")
 
 
 def majority_vote(spark, d):
@@ -161,43 +165,58 @@ def modal_per_domain(spark, d):
     return c.groupBy("domain").agg(F.min_by(F.struct("action_label", "n"), F.struct(-F.col("n"), "action_label")).alias("m")).select("domain", "m.action_label", "m.n")
 
 
+def _confidences(spark, d):
+    e = table(spark, d, "events").select((F.pmod(F.col("value"), F.lit(1.0))).alias("confidence"), (F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(2)) == 0).alias("correct"))
+    return e
+
+
 def confidence_bins(spark, d):
     """Calibration of event values as confidences."""
-    e = table(spark, d, "events").select((F.pmod(F.col("value"), F.lit(1.0))).alias("confidence"), (F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(2)) == 0).alias("correct"))
-    return calibration(e, "confidence", "correct")
+    return calibration(_confidences(spark, d), "confidence", "correct")
 
 
-QUERIES = {f.__name__: f for f in (majority_vote, llm_majority, agreement_histogram, pairwise_kappa, mean_kappa, confusion_matrix, confusion_wide, prf_per_class, evaluate_by_rater, all_differ, label_compare, modal_per_domain, confidence_bins)}
+def calibration_error(spark, d):
+    """The expected calibration error as one number."""
+    return calibration(_confidences(spark, d), "confidence", "correct").agg(F.round(F.sum("gap"), 4).alias("ece"), F.sum("n").alias("n"))
 
 
-def _norm_sql(c: str) -> str:
-    from failscope.functions.text import LABEL_SLIPS
+def vote_calibration(spark, d):
+    """Calibration of the share of humans that agree as the confidence of their majority, against the stored majority: predictions joined to labels by trace."""
+    m = majority(_audit(spark, d), "trace_num", RATERS).join(table(spark, d, "human_vs_llm_audit").groupBy("trace_num").agg(F.min("trace_id").alias("trace_id")), "trace_num")
+    gold = table(spark, d, "dev").select("trace_id", normal_label(F.col("human_majority")).alias("gold")).filter("gold is not null").groupBy("trace_id").agg(F.min("gold").alias("gold"))
+    return calibration(m.join(gold, "trace_id").select("agreement", (F.col("majority") == F.col("gold")).alias("right")), "agreement", "right")
+
+
+QUERIES = {f.__name__: f for f in (majority_vote, llm_majority, agreement_histogram, pairwise_kappa, mean_kappa, confusion_matrix, confusion_wide, prf_per_class, evaluate_by_rater, all_differ, label_compare, modal_per_domain, confidence_bins, calibration_error, vote_calibration)}
 
-    s = f"upper(regexp_replace(split_part({c}, '/', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))"
-    fixed = f"case {s} " + " ".join(f"when '{a}' then '{b}'" for a, b in LABEL_SLIPS.items()) + f" else {s} end"
-    return f"case when {fixed} in ({', '.join(repr(a) for a in ACTIONS)}) then {fixed} end"
+
+def _norm_sql(c: str) -> str:
+    """The oracle's own constants, written apart from those of the functions."""
+    s = f"regexp_replace(split_part(replace(replace(replace(upper({c}), 'ESCELATE', 'ESCALATE'), 'REPPLAN', 'REPLAN'), 'REPAN', 'REPLAN'), '/', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    return f"case when {s} in ('RETRY', 'REPLAN', 'RETRIEVE_MORE', 'TOOL_FIX', 'ESCALATE', 'LOCAL_REPAIR') then {s} end"
 
 
 def _long_sql(cols: list[str]) -> str:
     return " union all ".join(f"select trace_num, {i} pos, '{c}' rater, {_norm_sql(c)} as label from a" for i, c in enumerate(cols))
 
 
-_A = "with a as (select distinct on (trace_num) * from human_vs_llm_audit order by trace_num), h as (" + _long_sql(RATERS) + "), m as (" + _long_sql(LLMS) + ")"
+_A = "with a as (select * from (select *, row_number() over (partition by trace_num order by audited_at nulls first, P1 nulls first, P2 nulls first, P3 nulls first, P4 nulls first, P5 nulls first, P6 nulls first) k_ from human_vs_llm_audit) where k_ = 1), h as (" + _long_sql(RATERS) + "), m as (" + _long_sql(LLMS) + ")"
 _MAJ = lambda src: f"select trace_num, label as majority, n, t from (select *, row_number() over (partition by trace_num order by n desc, p) k from (select trace_num, label, count(*) n, min(pos) p, sum(count(*)) over (partition by trace_num) t from {src} where label is not null group by 1, 2)) where k = 1"
 _MAJQ = lambda src: _A + f", j as ({_MAJ(src)}) select a.trace_num, majority, round(n * 1.0 / t, 6) agreement, coalesce(t, 0) n_votes from a left join j using (trace_num)"
 _J = _A + f", hm as ({_MAJ('h')}), g as (select m.rater, hm.majority human, m.label from m join hm using (trace_num))"
-_PAIRS = _A + """, p as (select x.rater rater_a, y.rater rater_b, x.label la, y.label lb from h x join h y on x.trace_num = y.trace_num and x.pos < y.pos where x.label is not null and y.label is not null),
- t as (select rater_a, rater_b, count(*) n, avg(cast(la = lb as int)) po from p group by 1, 2),
+_PAIRS = _A + """, every as (select x.rater rater_a, y.rater rater_b, x.label la, y.label lb from h x join h y on x.trace_num = y.trace_num and x.pos < y.pos), p as (select * from every where la is not null and lb is not null),
+ t as (select rater_a, rater_b, count(*) filter (where la is not null and lb is not null) n, coalesce(avg(cast(la = lb as int)), 0) po from every group by 1, 2),
  ra as (select rater_a, rater_b, la as label, count(*) c from p group by 1, 2, 3), rb as (select rater_a, rater_b, lb as label, count(*) c from p group by 1, 2, 3),
  e as (select ra.rater_a, ra.rater_b, sum(ra.c * 1.0 * rb.c) pe from ra join rb using (rater_a, rater_b, label) group by 1, 2),
- k as (select rater_a, rater_b, n, po, coalesce(pe, 0) / (n * n) pe from t left join e using (rater_a, rater_b)),
- r as (select rater_a, rater_b, n, round(po, 6) observed, round(case when pe >= 1 then 1 else (po - pe) / (1 - pe) end, 6) kappa from k)"""
+ k as (select rater_a, rater_b, n, po, coalesce(pe / nullif(n * n, 0), 0) pe from t left join e using (rater_a, rater_b)),
+ r as (select rater_a, rater_b, n, round(po, 6) observed, round(case when n = 0 then 0 when pe >= 1 then 1 else (po - pe) / (1 - pe) end, 6) kappa from k)"""
 _PC = _J + """, c as (select rater, label, sum(tp) tp, sum(fp) fp, sum(fn) fn from (
   select rater, label, cast(human = label as int) tp, cast(human <> label as int) fp, 0 fn from g where label is not null
   union all select rater, human, 0, 0, 1 from g where label is not null and human <> label) group by 1, 2),
  f as (select *, coalesce(tp * 1.0 / nullif(tp + fp, 0), 0) "precision", coalesce(tp * 1.0 / nullif(tp + fn, 0), 0) recall, tp + fn support from c),
  z as (select *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) f1 from f)"""
 _L = "with l as (select * from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) rn_ from triage_labels) where rn_ = 1)"
+_BINS = "with e as (select value - floor(value) c, cast(json_extract_string(props, '$.k') as int) % 2 = 0 ok from events), g as (select cast(least(floor(c * 10), 9) as int) bin, count(*) n, avg(cast(ok as int)) acc, avg(c) conf from e where c is not null group by 1) select cast(b.bin as int) bin, coalesce(n, 0) n, round(acc, 6) acc, round(conf, 6) conf, round(coalesce(n * 1.0 / (select sum(n) from g) * abs(acc - conf), 0), 6) gap from (select range bin from range(10)) b left join g using (bin)"
 SQL = {
     "majority_vote": _MAJQ("h"), "llm_majority": _MAJQ("m"),
     "agreement_histogram": _A + f", j as ({_MAJ('h')}), b as (select case when n * 6 >= 6 * t then '6/6' when n * 6 >= 5 * t then '5/6' when n * 6 >= 4 * t then '4/6' when n * 2 >= t then '3/6' else 'less' end bin from j) select x.bin, count(b.bin) n from (select unnest(['6/6', '5/6', '4/6', '3/6', 'less']) bin) x left join b using (bin) group by 1",
@@ -209,5 +228,10 @@ SQL = {
     "all_differ": _A + f", hm as ({_MAJ('h')}) select m.trace_num from m join hm using (trace_num) group by 1 having max(cast(m.label is not distinct from hm.majority as int)) = 0",
     "label_compare": _L + ", d as (select trace_id, min(human_majority) b from dev where human_majority is not null group by 1), j as (select trace_id, cast(action_label is not distinct from b as int) same from l join d using (trace_id)) select count(*) n, sum(same) n_same, round(sum(same) * 100.0 / nullif(count(*), 0), 2) pct, min(case when same = 0 then trace_id end) first_mismatch from j",
     "modal_per_domain": _L + "select domain, action_label, n from (select domain, action_label, count(*) n, row_number() over (partition by domain order by count(*) desc, action_label) k from l where domain is not null and action_label is not null group by 1, 2) where k = 1",
-    "confidence_bins": "with e as (select value - floor(value) c, cast(json_extract_string(props, '$.k') as int) % 2 = 0 ok from events), g as (select cast(least(floor(c * 10), 9) as int) bin, count(*) n, avg(cast(ok as int)) acc, avg(c) conf from e where c is not null group by 1) select cast(b.bin as int) bin, coalesce(n, 0) n, round(acc, 6) acc, round(conf, 6) conf, round(coalesce(n * 1.0 / (select sum(n) from g) * abs(acc - conf), 0), 6) gap from (select range bin from range(10)) b left join g using (bin)",
+    "confidence_bins": _BINS,
+    "calibration_error": f"select round(sum(gap), 4) ece, sum(n) n from ({_BINS})",
+    "vote_calibration": _A + f""", j as ({_MAJ('h')}), g as (select trace_id, min(x) gold from (select trace_id, {_norm_sql('human_majority')} x from dev) where x is not null group by 1),
+     e as (select round(n * 1.0 / t, 6) c, majority = gold ok from j join (select trace_num, min(trace_id) trace_id from human_vs_llm_audit group by 1) using (trace_num) join g using (trace_id)),
+     b as (select cast(least(floor(c * 10), 9) as int) bin, count(*) n, avg(cast(ok as int)) acc, avg(c) conf from e group by 1)
+     select cast(x.bin as int) bin, coalesce(n, 0) n, round(acc, 6) acc, round(conf, 6) conf, round(coalesce(n * 1.0 / (select sum(n) from b) * abs(acc - conf), 0), 6) gap from (select range bin from range(10)) x left join b using (bin)""",
 }
