@@ -13,16 +13,19 @@ masked fragments only.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failscope.llm.fragments import DANGLING, after_fences, bare, dangling, fragments, last_name, mask, names, open_markup, open_stack, starts_sentence, strict_prefixes
-from failscope.session import checkpointed, require, table, trim_all
+from failscope.session import checkpointed, require, stored, table, trim_all
 
 _SCHEMA = "kind string, trace_id string, field string, s string, last_name string, defect string"
 
@@ -62,7 +65,17 @@ FUNCTION_WORDS = {
     "pt": "o a os as do da dos das e em um uma no na não que para com por depois até quando é foi são está mais isso à sobram restam",
     "it": "il lo la gli le di e un una che non per con del della dei dopo fino quando è sono nel alla più sul",
 }
-_FUNCTION = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: function word -> the languages that have it
+_FUNCTION: dict[str, list[str]] = {}
+for _k, _v in FUNCTION_WORDS.items():
+    for _w in dict.fromkeys(_v.split()):
+        _FUNCTION.setdefault(_w, []).append(_k)
+#: Scripts by their letters, and the language (or group of languages) that is written in each.
+SCRIPTS = {
+    "ru": "\u0400-\u04ff", "el": "\u0370-\u03ff\u1f00-\u1fff", "ar": "\u0600-\u06ff", "he": "\u0590-\u05ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f", "ko": "\uac00-\ud7af\u1100-\u11ff",
+    "ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff\u3400-\u4dbf",
+}
+_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]{3,}\"")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CODE = re.compile(r"(?m)^\s*(?:def |class |import |from \w+ import |return\b|@\w+)|\blambda\b|^```|^\w+ = ")
@@ -89,39 +102,67 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower().replace("&amp;", " and ").replace("’", "'"))
 
 
+def _common_runs(answer: list[str], statement: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(-length, i, j) of the maximal common runs of `least` or more tokens, found by hashed windows of `least` tokens."""
+    places: dict[tuple[str, ...], list[int]] = {}
+    for j in range(len(statement) - least + 1):
+        places.setdefault(tuple(statement[j : j + least]), []).append(j)
+    starts = [(i, places.get(tuple(answer[i : i + least]), ())) for i in range(len(answer) - least + 1)]
+    runs = []
+    if sum(len(js) for _, js in starts) > 50_000:  # texts that repeat themselves: diagonal by diagonal
+        number: dict[str, int] = {}
+        a, s = (np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in (answer, statement))
+        for d in range(least - len(a), len(s) - least + 1):
+            lo, hi = max(0, -d), min(len(a), len(s) - d)
+            equal = np.concatenate(([0], (a[lo:hi] == s[lo + d : hi + d]).view(np.int8), [0]))
+            edges = np.flatnonzero(np.diff(equal))
+            runs += [(-int(q - p), lo + int(p), lo + d + int(p)) for p, q in zip(edges[::2], edges[1::2]) if q - p >= least]
+        return runs
+    for i, js in starts:
+        for j in js:
+            if i and j and answer[i - 1] == statement[j - 1]:
+                continue  # inside a longer run
+            k = least
+            while i + k < len(answer) and j + k < len(statement) and answer[i + k] == statement[j + k]:
+                k += 1
+            runs.append((-k, i, j))
+    return runs
+
+
 def tiled(answer: list[str], statement: list[str], least: int = 3) -> list[bool]:
     """Greedy string tiling: which tokens of the answer lie in tiles of `least` or more tokens that the statement also has.
 
     The longest common run is marked first, then the longest among what is left, until none is
     long enough; a tile goes on over words that are misspelt forms of what stands there in the statement.
+    Common runs are found once and kept by length; a run that later tiles cut into is split when its turn comes.
     """
     marked_a, marked_s = [False] * len(answer), [False] * len(statement)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(statement):
-        places.setdefault(w, []).append(j)
-    while True:
-        best, best_at = least - 1, None
-        for i in range(len(answer)):
-            if marked_a[i] or i + best >= len(answer):
-                continue
-            for j in places.get(answer[i], ()):
-                if marked_s[j]:
-                    continue
-                k = 0
-                while i + k < len(answer) and j + k < len(statement) and answer[i + k] == statement[j + k] and not marked_a[i + k] and not marked_s[j + k]:
-                    k += 1
-                if k > best:
-                    best, best_at = k, (i, j)
-        if best_at is None:
-            return marked_a
-        i, j = best_at
-        for k in range(best):
-            marked_a[i + k] = marked_s[j + k] = True
+    queue = _common_runs(answer, statement, least)
+    heapq.heapify(queue)
+    while queue:
+        k, i, j = heapq.heappop(queue)
+        k = -k
+        free = [not (marked_a[i + x] or marked_s[j + x]) for x in range(k)]
+        if not all(free):
+            x = 0
+            while x < k:
+                if free[x]:
+                    y = x
+                    while y < k and free[y]:
+                        y += 1
+                    if y - x >= least:
+                        heapq.heappush(queue, (x - y, i + x, j + x))
+                    x = y
+                x += 1
+            continue
+        for x in range(k):
+            marked_a[i + x] = marked_s[j + x] = True
         # a misspelt word doesn't end a tile: it goes on in both directions, over words that are equal or misspelt
-        for step, n, m in ((1, i + best, j + best), (-1, i - 1, j - 1)):
+        for step, n, m in ((1, i + k, j + k), (-1, i - 1, j - 1)):
             while 0 <= n < len(answer) and 0 <= m < len(statement) and not marked_a[n] and not marked_s[m] and (answer[n] == statement[m] or _misspelt(answer[n], statement[m])):
                 marked_a[n] = marked_s[m] = True
                 n, m = n + step, m + step
+    return marked_a
 
 
 def _misspelt(a: str, b: str) -> bool:
@@ -151,28 +192,33 @@ def is_copy(text: str, statement: str | None) -> bool:
 def language(text: str) -> str | None:
     """The language of a text, by script and function words; None where neither tells."""
     t = _QUOTED.sub(" ", text.lower())
-    letters = [c for c in t if c.isalpha()]
-    if not letters:
-        return None
-    cyrillic = sum("а" <= c <= "я" or c == "ё" for c in letters)
-    if cyrillic >= 0.3 * len(letters):
-        return "ru"
+    scores = dict.fromkeys(FUNCTION_WORDS, 0)
     ws = _TOKEN.findall(t)
-    scores = {k: sum(w in v for w in ws) for k, v in _FUNCTION.items()}
-    scores["de"] += 2 * sum("ß" in w or "ü" in w or "ä" in w for w in ws)
-    scores["es"] += 2 * t.count("ñ") + 2 * t.count("¿") + sum("ó" in w or "í" in w for w in ws)
-    scores["pt"] += 2 * sum("ã" in w or "õ" in w for w in ws)
-    scores["fr"] += 2 * sum("è" in w or "ê" in w or "œ" in w for w in ws)
+    if not t.isascii():
+        n = sum(map(str.isalpha, t))
+        for k, script in _SCRIPTS.items():
+            if n and len(script.findall(t)) >= 0.3 * n:
+                return k
+        scores["de"] += 2 * sum("ß" in w or "ü" in w or "ä" in w for w in ws)
+        scores["es"] += 2 * t.count("ñ") + 2 * t.count("¿") + sum("ó" in w or "í" in w for w in ws)
+        scores["pt"] += 2 * sum("ã" in w or "õ" in w for w in ws)
+        scores["fr"] += 2 * sum("è" in w or "ê" in w or "œ" in w for w in ws)
+    for w in ws:
+        for k in _FUNCTION.get(w, ()):
+            scores[k] += 1
     ranked = sorted(scores.items(), key=lambda x: -x[1])
     (best, n), (_, second) = ranked[0], ranked[1]
     return best if n >= 2 and n > second else None
 
 
+_statements = lru_cache(4096)(language)
+
+
 def other_language(text: str, statement: str | None) -> bool:
     if not statement or _CODE.search(text) or len(text.split()) < 3:
         return False
-    a, b = language(text), language(statement)
-    return a is not None and b is not None and a != b
+    a = language(text)
+    return a is not None and _statements(statement) not in (None, a)
 
 
 def code_cut(text: str) -> bool:
@@ -263,7 +309,7 @@ def responses(traces: DataFrame, labels: DataFrame) -> DataFrame:
     t = t.groupBy("trace_id").agg(F.max_by(F.struct("problem_id", "domain", "problem_statement", "gold_answer", "final_answer"), F.coalesce(F.unix_micros("ingested_at"), F.lit(0))).alias("r")).select("trace_id", "r.*")
     key = F.concat_ws("/", F.lower(trim_all(F.col("domain"))), F.regexp_replace(F.lower(F.col("problem_id")), r"[^\p{L}\p{N}]", ""))
     blank = F.col("problem_statement").isNull() | ~F.col("problem_statement").rlike(r"\w")
-    t = t.withColumn("problem", F.when(F.col("problem_id").isNotNull() & F.col("domain").isNotNull(), key)).withColumn("no_statement", blank)
+    t = stored(t.withColumn("problem", F.when(F.col("problem_id").isNotNull() & F.col("domain").isNotNull(), key)).withColumn("no_statement", blank))  # read four times
     known = t.filter(~F.col("no_statement") & F.col("problem").isNotNull()).groupBy("problem").agg(F.min("problem_statement").alias("statement"))
     bare_rows = t.filter("no_statement").join(known, "problem", "left").drop("problem_statement").withColumnRenamed("statement", "problem_statement")
     t = t.filter("not no_statement").unionByName(bare_rows.select(*t.columns)).select("trace_id", "problem_statement", "gold_answer", "final_answer")
@@ -285,14 +331,17 @@ def defects(traces: DataFrame, labels: DataFrame) -> DataFrame:
     set; without any statement of the problem there is neither `copy` nor `language`; empty tables
     give no rows; other columns are ignored; whole texts are read.
     """
-    judged = checkpointed(responses(traces, labels).mapInArrow(_judge, _SCHEMA))
-    bank = judged.filter("kind = 'bank'").select("s")
-    tails = judged.filter("kind in ('tail', 'dangle')")
-    cut = tails.join(strict_prefixes(tails.select("s"), bank), "s", "left_semi").select("trace_id", "field")
-    dangles = judged.filter("kind = 'dangle'").join(bank.distinct(), "s", "left_anti").select("trace_id", "field")
-    cut_names = strict_prefixes(tails.select(F.col("last_name").alias("s")), judged.filter("kind = 'name'").select("s"))
-    by_name = tails.join(cut_names.select(F.col("s").alias("last_name")), "last_name", "left_semi").select("trace_id", "field")
-    truncated = cut.unionByName(dangles).unionByName(by_name).distinct().select("trace_id", "field", F.lit("truncated").alias("defect"))
+    judged = stored(responses(traces, labels).mapInArrow(_judge, _SCHEMA))
+    tails = judged.filter("kind in ('tail', 'dangle')").select("kind", "trace_id", "field", F.concat(F.lit("s "), "s").alias("s"), F.concat(F.lit("n "), "last_name").alias("name"))
+    # one sorted search for fragments and names, kept apart by their first letter
+    ends = tails.select(F.explode(F.array("s", "name")).alias("s")).filter("s is not null").distinct()
+    bank = judged.filter("kind = 'bank'").select(F.concat(F.lit("s "), "s").alias("s")).distinct()
+    cut = strict_prefixes(ends, bank.unionByName(judged.filter("kind = 'name'").select(F.concat(F.lit("n "), "s").alias("s"))))
+    # a word after which nothing ends is a cut unless the bank has such a fragment
+    open_ends = tails.filter("kind = 'dangle'").select("s").distinct().join(bank, "s", "left_anti")
+    ended = checkpointed(cut.unionByName(open_ends).distinct())
+    hit = lambda c: tails.withColumn("t", F.col(c)).join(ended.select(F.col("s").alias("t")), "t", "left_semi").select("trace_id", "field")
+    truncated = hit("s").unionByName(hit("name")).distinct().select("trace_id", "field", F.lit("truncated").alias("defect"))
     return judged.filter("kind = 'found'").select("trace_id", "field", "defect").unionByName(truncated)
 
 

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+import time
 from collections import Counter
 from datetime import datetime
 
@@ -48,6 +49,18 @@ def test_tiling_matches_brute_force():
         assert pairs.tiled(a, s) == brute_tiles(a, s)
 
 
+def test_tiling_of_long_texts_is_fast():
+    rng = random.Random(8)
+    long = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000)]
+    began = time.process_time()
+    assert all(pairs.tiled(long[2000:9000], long)) and all(pairs.tiled(["x"] * 3000, ["x"] * 3000))
+    assert time.process_time() - began < 30
+
+
+def test_scripts():
+    assert [pairs.language(t) for t in ("Πού είναι το κλειδί;", "鍵はどこですか", "钥匙在哪里", "Где ключ от дома", "열쇠가 어디에 있습니까", "The key of the house")] == ["el", "ja", "zh", "ru", "ko", "en"]
+
+
 def _traces(spark, rows):
     return spark.createDataFrame([(*r, "clash", "x") for r in rows], "trace_id string, problem_id string, domain string, problem_statement string, gold_answer string, final_answer string, ingested_at timestamp, s string, kind string")
 
