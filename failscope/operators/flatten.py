@@ -194,7 +194,7 @@ def triage_labels(docs: DataFrame) -> DataFrame:
         "trace_id", "run_id", "problem_id", "benchmark", "domain", "is_ablation", "ablation_type", F.when(repaired == 1, "LOCAL_REPAIR").alias("action_label"), F.when(repaired == 1, "repair").alias("label_source"),
         repaired.alias("is_auto_labeled"), (1 - repaired).alias("needs_labeling"), repaired.alias("is_local_repairable"), _num_repairs().alias("num_successful_repair_steps"), "source_file", "ordinal", "pos",
     )
-    later = ("llm_1_action", "llm_1_rationale", "llm_2_action", "llm_2_rationale", "human_action", "human_rationale", "split")  # filled by labelling
+    later = ("applicable_actions_json", "llm_1_action", "llm_1_rationale", "llm_2_action", "llm_2_rationale", "human_action", "human_rationale", "split")  # filled by labelling
     out = last_wins(out, ["trace_id"], ["source_file", "ordinal", "pos"]).drop("source_file", "ordinal", "pos")
     return out.select("*", *[F.lit(None).cast("string").alias(c) for c in later])
 
@@ -227,28 +227,138 @@ def flatten(raw: DataFrame, include_ablations: bool = True) -> dict[str, DataFra
 # queries: the stored tables are nested again into documents, and flattened from them
 
 
-def _documents(spark, d):
+def _stored(spark, d):
+    """Traces with a run, one a run and problem, and steps with a number, one a key, as the documents nest them."""
     from failscope.session import table
 
-    t = last_wins(table(spark, d, "traces"), ["trace_id"], ["ingested_at"]).filter("run_id is not null")
-    s = last_wins(table(spark, d, "steps"), ["step_uid"], ["ingested_at"]).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_id", "step_type", "text", "tool_name"))).alias("steps"))
-    body = t.join(s, "trace_id", "left").select("run_id", "is_passing_trace", F.struct("problem_id", "timestamp", (F.col("success") == 1).alias("success"), "problem_statement", "gold_answer", "final_answer", F.struct("num_steps", "steps").alias("trace")).alias("t"))
-    arr = lambda p: F.array_sort(F.collect_list(F.when(F.col("is_passing_trace") == p, F.col("t"))))
-    g = body.groupBy("run_id").agg(arr(1).alias("passing_traces"), arr(0).alias("failing_traces"))
-    r = last_wins(table(spark, d, "runs"), ["run_id"], ["ingested_at"]).select("run_id", "experiment_name", "timestamp", "model_used", F.col("num_problems_declared").alias("num_problems"), F.struct(F.col("stats_total").alias("total"), F.col("stats_accuracy").alias("accuracy")).alias("stats"))
-    return r.join(g, "run_id").select(F.to_json(F.struct("*")).alias("doc"), F.lit("tables").alias("source_file"), F.lit(0).cast("bigint").alias("ordinal"))
+    t = last_wins(table(spark, d, "traces"), ["trace_id"], ["ingested_at"]).filter("run_id is not null").join(table(spark, d, "runs").select("run_id").distinct(), "run_id", "left_semi")
+    keep = ["trace_id", "is_passing_trace", "timestamp", "success", "problem_statement", "gold_answer", "final_answer", "num_steps"]
+    t = t.groupBy("run_id", "problem_id").agg(F.min_by(F.struct(*keep), "trace_id").alias("r")).select("run_id", "problem_id", "r.*")
+    cols = ["trace_id", "step_index", "step_id", "step_type", "text", "tool_name", "tool_call_result"]
+    return t, last_wins(table(spark, d, "steps").select("step_uid", "ingested_at", *cols), ["step_uid"], ["ingested_at"]).select("step_uid", *cols)
+
+
+def _runs(spark, d):
+    from failscope.session import table
+
+    cols = ["experiment_name", "timestamp", "model_used", "num_problems_declared", "stats_total", "stats_accuracy"]
+    r = last_wins(table(spark, d, "runs").select("run_id", "ingested_at", *cols), ["run_id"], ["ingested_at"])
+    return r.select("run_id", "experiment_name", F.col("timestamp").alias("run_timestamp"), "model_used", F.col("num_problems_declared").alias("num_problems"), F.struct(F.col("stats_total").alias("total"), F.col("stats_accuracy").alias("accuracy")).alias("stats"))
+
+
+_RAW = [F.lit("tables").alias("source_file"), F.lit(0).cast("bigint").alias("ordinal")]
+
+
+def trace_documents(spark, d) -> DataFrame:
+    """A run document for each trace, so no document is larger than a trace. Failed tool steps are its repairs, judged candidates and consensus."""
+    t, s = _stored(spark, d)
+    bad = F.col("tool_call_result") == 0
+    key = F.col("step_id").cast("string")
+    step = F.struct("step_type", "tool_name", "text")
+    repair = F.struct(F.lit(True).alias("success_predicted"), (1.0 / (1 + F.length(F.coalesce("text", F.lit(""))))).alias("minimality_score"), F.concat(F.lit("again: "), F.coalesce("text", F.lit(""))).alias("repaired_text"), step.alias("original_step"))
+    judges = F.array(*[F.struct(F.lit(x).alias("agent"), (F.col("step_id") % n == 0).alias("agrees"), F.lit(n / 4).alias("confidence")) for x, n in (("first", 2), ("second", 3))])
+    critique = F.struct("step_id", F.col("tool_name").alias("proposed_by"), judges.alias("judge_ensemble"))
+    agreed = F.struct("step_id", "step_type", (F.col("step_id") / 10).alias("consensus_score"), "text")
+    listed = lambda c, when: F.array_sort(F.collect_list(F.when(when, c)))
+    chosen = bad & F.col("step_id").isNotNull()
+    per = s.groupBy("trace_id").agg(
+        F.array_sort(F.collect_list(F.struct("step_index", "step_id", "step_type", "text", "tool_name", "tool_call_result"))).alias("steps"),
+        listed(F.struct(key.alias("k"), repair.alias("v")), chosen).alias("repairs"), listed(F.struct(key.alias("k"), critique.alias("v")), chosen).alias("critique"), listed(agreed, chosen).alias("agreed"),
+    )
+    as_map = lambda c: F.map_from_entries(c)
+    analysis = F.struct(
+        F.struct(as_map("repairs").alias("successful_repairs")).alias("counterfactual_repair"),
+        F.struct(F.lit(False).alias("skipped"), as_map("critique").alias("critique_details"), F.col("agreed").alias("consensus_steps")).alias("multi_agent_critique"),
+    )
+    n = F.size("repairs")
+    metrics = F.struct(F.struct(n.alias("num_identified_causal_steps")).alias("attribution"), F.struct((n + 1).alias("total_repairs_attempted"), n.alias("successful_repairs"), F.lit(1).alias("failed_repairs"), (n / (n + 1)).alias("success_rate")).alias("repairs"))
+    trace = F.struct("problem_id", "timestamp", (F.col("success") == 1).alias("success"), "problem_statement", "gold_answer", "final_answer", F.struct("num_steps", "steps").alias("trace"), analysis.alias("analysis"), metrics.alias("metrics"))
+    body = t.join(per, "trace_id", "left").withColumn("t", trace)
+    side = lambda x: F.when(F.col("is_passing_trace") == x, F.array("t"))
+    return body.join(_runs(spark, d), "run_id").select(F.to_json(F.struct("run_id", "experiment_name", "model_used", side(1).alias("passing_traces"), side(0).alias("failing_traces"))).alias("doc"), *_RAW)
+
+
+def run_only_documents(spark, d) -> DataFrame:
+    """A document for each run, with the ids of its traces only."""
+    t, _ = _stored(spark, d)
+    arr = lambda p: F.array_sort(F.collect_list(F.when(F.col("is_passing_trace") == p, F.struct("problem_id"))))
+    g = t.groupBy("run_id").agg(arr(1).alias("passing_traces"), arr(0).alias("failing_traces"))
+    return _runs(spark, d).join(g, "run_id").select(F.to_json(F.struct("*")).alias("doc"), *_RAW)
+
+
+def _flat(spark, d):
+    return run_documents(trace_documents(spark, d))
 
 
 def flat_runs(spark, d):
-    return runs(run_documents(_documents(spark, d))).select("run_id", "num_traces_stored", "num_passing_traces", "num_failing_traces", "stats_accuracy")
+    return runs(run_documents(run_only_documents(spark, d))).select("run_id", "num_traces_stored", "num_passing_traces", "num_failing_traces", "stats_accuracy")
 
 
 def flat_steps(spark, d):
-    return steps(run_documents(_documents(spark, d))).groupBy("step_type").agg(F.count(F.lit(1)).alias("n"), F.sum("text_length").cast("bigint").alias("len"), F.sum("has_tool").cast("bigint").alias("n_tool"))
+    return steps(_flat(spark, d)).groupBy("step_type").agg(F.count(F.lit(1)).alias("n"), F.sum("text_length").cast("bigint").alias("len"), F.sum("has_tool").cast("bigint").alias("n_tool"), F.count("tool_call_result").alias("n_result"))
+
+
+def flat_traces(spark, d):
+    return traces(_flat(spark, d)).select("trace_id", "run_id", "problem_id", "success", "num_steps", "is_passing_trace", "is_failing_trace", "answer_exact_match", F.length("problem_statement").alias("statement_length"))
+
+
+def flat_labels(spark, d):
+    return triage_labels(_flat(spark, d)).select("trace_id", "action_label", "label_source", "is_auto_labeled", "needs_labeling", "num_successful_repair_steps")
 
 
-QUERIES = {"flat_runs": flat_runs, "flat_steps": flat_steps}
-_T = "with t as (select * from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) k_ from traces) where k_ = 1 and run_id is not null), s as (select * from (select *, row_number() over (partition by step_uid order by ingested_at desc nulls last) k_ from steps) where k_ = 1), r as (select * from (select *, row_number() over (partition by run_id order by ingested_at desc nulls last) k_ from runs) where k_ = 1)"
+def flat_repairs(spark, d):
+    r = repair_attempts(_flat(spark, d))
+    return r.select("repair_id", "step_uid", "step_id", "success_predicted", F.round("minimality_score", 6).alias("minimality_score"), "original_step_type", "original_tool_name", F.length("repaired_text").alias("repaired_length"))
+
+
+def flat_votes(spark, d):
+    return judge_votes(_flat(spark, d)).select("judge_vote_id", "step_uid", "proposed_by", "judge_agent", "agrees", "confidence", "judge_says_causal", "is_repairable_step", "vote_matches_repairability")
+
+
+def flat_consensus(spark, d):
+    return consensus_steps(_flat(spark, d)).select("consensus_id", "step_uid", "step_type", F.round("consensus_score", 6).alias("consensus_score"), "is_repairable_step", "has_successful_repair")
+
+
+def flat_metrics(spark, d):
+    m = trace_metrics(_flat(spark, d))
+    return m.select("trace_id", "num_identified_causal_steps", "repairs_attempted", "repairs_successful", "repairs_failed", F.round("repair_success_rate", 6).alias("repair_success_rate"), "num_successful_repair_steps", "num_consensus_steps", "multi_agent_skipped")
+
+
+def metrics_by_benchmark(spark, d):
+    """Failed traces with their metrics: mean length and the share of steps that are causal."""
+    docs = _flat(spark, d)
+    t, m = traces(docs).filter("success = 0").select("trace_id", "benchmark", "num_steps"), trace_metrics(docs).select("trace_id", "num_identified_causal_steps")
+    share = F.try_divide(F.sum("num_identified_causal_steps") * 100.0, F.sum("num_steps").cast("double"))
+    return t.join(m, "trace_id").groupBy("benchmark").agg(F.count("trace_id").alias("n"), F.round(F.avg("num_steps"), 2).alias("avg_steps"), F.round(share, 1).alias("pct_causal"))
+
+
+def repair_length_ratio(spark, d):
+    """Length of repaired texts against the original ones by benchmark; a missing ratio counts as zero."""
+    docs = _flat(spark, d)
+    r = repair_attempts(docs).filter("repair_succeeded = 1 and repaired_text is not null")
+    x = F.coalesce(F.try_divide(F.length("repaired_text").cast("double"), F.length("original_text").cast("double")), F.lit(0.0))
+    j = r.select("trace_id", x.alias("x")).join(traces(docs).select("trace_id", "benchmark"), "trace_id")
+    return j.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("mean_ratio"), F.round(F.median("x"), 4).alias("median_ratio"))
+
+
+QUERIES = {f.__name__: f for f in (flat_runs, flat_steps, flat_traces, flat_labels, flat_repairs, flat_votes, flat_consensus, flat_metrics, metrics_by_benchmark, repair_length_ratio)}
+_T = """with t0 as (select * from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) k_ from traces) where k_ = 1 and run_id is not null and run_id in (select run_id from runs)),
+t as (select *, run_id || '::' || coalesce(problem_id, 'None') tid from (select *, row_number() over (partition by run_id, problem_id order by trace_id) p_ from t0) where p_ = 1),
+s as (select * from (select *, row_number() over (partition by step_uid order by ingested_at desc nulls last) k_ from steps) where k_ = 1),
+r as (select * from (select *, row_number() over (partition by run_id order by ingested_at desc nulls last) k_ from runs) where k_ = 1),
+ft as (select t.*, case when starts_with(r.experiment_name, 'ablation_') then replace(replace(r.experiment_name, 'ablation_minimality_', ''), 'ablation_nogold_', '') else nullif(r.experiment_name, '') end bench from t join r using (run_id) where is_passing_trace in (0, 1)),
+b as (select f.tid, f.bench, f.tid || '::step::' || s.step_id suid, s.step_id, s.step_type, s.tool_name, s.text, s.step_index, row_number() over (partition by f.tid order by s.step_id, s.step_type nulls first) - 1 place from ft f join s using (trace_id) where f.is_passing_trace = 0 and s.tool_call_result = 0 and s.step_id is not null),
+nb as (select f.tid, count(b.tid) n from ft f left join b using (tid) where f.is_passing_trace = 0 group by 1)
+"""
 SQL = {
     "flat_runs": _T + "select run_id, count(*) filter (where is_passing_trace in (0, 1)) num_traces_stored, count(*) filter (where is_passing_trace = 1) num_passing_traces, count(*) filter (where is_passing_trace = 0) num_failing_traces, any_value(stats_accuracy) stats_accuracy from r join t using (run_id) group by 1",
+    "flat_steps": _T + ", x as (select distinct on (tid, coalesce(step_id, -1)) tid, s.* from ft f join s using (trace_id) where step_id is not null order by tid, coalesce(step_id, -1)) select step_type, count(*) n, sum(length(coalesce(text, ''))) len, sum(cast(coalesce(tool_name, '') <> '' as int)) n_tool, count(tool_call_result) n_result from x group by 1",
+    "flat_traces": _T + r"select tid trace_id, run_id, problem_id, success, num_steps, is_passing_trace, 1 - is_passing_trace is_failing_trace, cast(regexp_replace(gold_answer, '^\s+|\s+$', '', 'g') = regexp_replace(final_answer, '^\s+|\s+$', '', 'g') as int) answer_exact_match, length(problem_statement) statement_length from ft",
+    "flat_labels": _T + "select tid trace_id, case when n > 0 then 'LOCAL_REPAIR' end action_label, case when n > 0 then 'repair' end label_source, cast(n > 0 as int) is_auto_labeled, cast(n = 0 as int) needs_labeling, n num_successful_repair_steps from nb",
+    "flat_repairs": _T + "select tid || '::repair::' || step_id repair_id, suid step_uid, step_id, 1 success_predicted, round(1.0 / (1 + length(coalesce(text, ''))), 6) minimality_score, step_type original_step_type, tool_name original_tool_name, 7 + length(coalesce(text, '')) repaired_length from b",
+    "flat_votes": _T + ", v as (select b.*, j.i, j.agent, j.m from b, (values (0, 'first', 2), (1, 'second', 3)) j(i, agent, m)) select tid || '::vote::' || step_id || '::' || i judge_vote_id, suid step_uid, tool_name proposed_by, agent judge_agent, cast(step_id % m = 0 as int) agrees, m / 4.0 confidence, cast(step_id % m = 0 as int) judge_says_causal, 1 is_repairable_step, cast(step_id % m = 0 as int) vote_matches_repairability from v",
+    "flat_consensus": _T + "select tid || '::consensus::' || place consensus_id, suid step_uid, step_type, round(step_id / 10, 6) consensus_score, 1 is_repairable_step, 1 has_successful_repair from b",
+    "flat_metrics": _T + "select nb.tid trace_id, case when f.has_steps then n end num_identified_causal_steps, case when f.has_steps then n + 1 end repairs_attempted, case when f.has_steps then n end repairs_successful, 1 repairs_failed, case when f.has_steps then round(n / (n + 1), 6) end repair_success_rate, n num_successful_repair_steps, n num_consensus_steps, 0 multi_agent_skipped from nb join (select tid, trace_id in (select trace_id from s where trace_id is not null) has_steps from ft) f using (tid)",
+    "metrics_by_benchmark": _T + "select bench benchmark, count(*) n, round(avg(num_steps), 2) avg_steps, round(sum(case when h then n end) * 100.0 / nullif(sum(num_steps), 0), 1) pct_causal from (select ft.*, trace_id in (select trace_id from s where trace_id is not null) h from ft) f join nb using (tid) where success = 0 group by 1",
+    "repair_length_ratio": _T + "select bench benchmark, count(*) n, round(avg(x), 4) mean_ratio, round(median(x), 4) median_ratio from (select bench, coalesce((7 + length(coalesce(text, ''))) * 1.0 / nullif(length(text), 0), 0.0)::double x from b) group by 1",
 }

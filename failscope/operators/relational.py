@@ -14,40 +14,40 @@ def ratio(num, den, scale: int = 6):
     return F.round(F.try_divide(num.cast("double"), den.cast("double")), scale)
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """The latest row of each key; later ingested_at wins (see windows.last_wins)."""
-    return last_wins(df, [key], ["ingested_at"])
+def one_per_key(spark: SparkSession, d: str, name: str, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The latest row of each key of a table; later ingested_at wins (see windows.last_wins). Only the named columns are read and shuffled."""
+    return last_wins(table(spark, d, name).select(*dict.fromkeys([key, "ingested_at", *columns])), [key], ["ingested_at"])
 
 
-def traces(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "traces"), "trace_id")
+def traces(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return one_per_key(spark, d, "traces", "trace_id", columns)
 
 
-def labels(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "triage_labels"), "trace_id")
+def labels(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return one_per_key(spark, d, "triage_labels", "trace_id", columns)
 
 
-def steps(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "steps"), "step_uid")
+def steps(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return one_per_key(spark, d, "steps", "step_uid", columns)
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "runs"), "run_id")
+def runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return one_per_key(spark, d, "runs", "run_id", columns)
 
 
 # aggregates
 
 
 def trace_accuracy_by_group(spark, d):
-    return traces(spark, d).groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("success") == 1).cast("int")).alias("n_success"), F.round(F.avg((F.col("success") == 1).cast("double")), 3).alias("accuracy"))
+    return traces(spark, d, "benchmark", "success").groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("success") == 1).cast("int")).alias("n_success"), F.round(F.avg((F.col("success") == 1).cast("double")), 3).alias("accuracy"))
 
 
 def vote_crosstab(spark, d):
-    return labels(spark, d).groupBy("llm_1_action", "is_local_repairable").agg(F.count(F.lit(1)).alias("n"))
+    return labels(spark, d, "llm_1_action", "is_local_repairable").groupBy("llm_1_action", "is_local_repairable").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ablation_counts(spark, d):
-    return runs(spark, d).groupBy("is_ablation", "ablation_type").agg(F.count(F.lit(1)).alias("n"))
+    return runs(spark, d, "is_ablation", "ablation_type").groupBy("is_ablation", "ablation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def table_counts(spark, d):
@@ -61,48 +61,48 @@ def table_counts(spark, d):
 
 def ratio_of_sums(spark, d):
     """Ratio of sums and mean of ratios by group; a zero divisor gives null."""
-    r = runs(spark, d)
+    r = runs(spark, d, "benchmark", "num_passing_traces", "num_traces_stored", "total_experiment_time_minutes")
     share = F.try_divide(F.sum("num_passing_traces").cast("double") * 100.0, F.sum("num_traces_stored").cast("double"))
     return r.groupBy("benchmark").agg(F.round(share, 1).alias("pct_passing"), F.round(F.avg("total_experiment_time_minutes"), 3).alias("avg_minutes"))
 
 
 def two_level_max(spark, d):
     """Maximum per trace and step type, then conditional sums: an aggregate of an aggregate."""
-    inner = steps(spark, d).groupBy("trace_id", "step_type").agg(F.max(F.length("text")).alias("longest"), F.max("tool_call_result").alias("any_ok"))
+    inner = steps(spark, d, "trace_id", "step_type", "text", "tool_call_result").groupBy("trace_id", "step_type").agg(F.max(F.length("text")).alias("longest"), F.max("tool_call_result").alias("any_ok"))
     return inner.groupBy("step_type").agg(F.count(F.lit(1)).alias("n_traces"), F.sum(F.coalesce(F.col("any_ok"), F.lit(0))).alias("n_with_success"), F.sum((F.col("longest") > 100).cast("int")).alias("n_long"))
 
 
 def scalar_residual(spark, d):
     """Scalar aggregates of two tables and what is left between them."""
-    t = traces(spark, d).agg(F.sum((F.col("is_failing_trace") == 1).cast("int")).alias("failing"))
+    t = traces(spark, d, "is_failing_trace").agg(F.sum((F.col("is_failing_trace") == 1).cast("int")).alias("failing"))
     lab = labels(spark, d).agg(F.count(F.lit(1)).alias("labelled"))
     return t.crossJoin(lab).withColumn("unlabelled", F.col("failing") - F.col("labelled"))  # one row by one row
 
 
 def group_median(spark, d):
     """Exact median of a length ratio; missing values count as zero."""
-    r = traces(spark, d).select("domain", F.coalesce(F.try_divide(F.length("final_answer").cast("double"), F.length("gold_answer").cast("double")), F.lit(0.0)).alias("r"))
+    r = traces(spark, d, "domain", "final_answer", "gold_answer").select("domain", F.coalesce(F.try_divide(F.length("final_answer").cast("double"), F.length("gold_answer").cast("double")), F.lit(0.0)).alias("r"))
     return r.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 4).alias("mean_ratio"), F.round(F.median("r"), 4).alias("median_ratio"))
 
 
 def value_counts(spark, d):
-    return labels(spark, d).groupBy("action_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "action_label")
+    return labels(spark, d, "action_label").groupBy("action_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "action_label")
 
 
 def representative_row(spark, d):
     """One row a trace with the columns of its first step: a deterministic pick where SQL dialects would take any row."""
-    s = steps(spark, d).filter("text is not null")
+    s = steps(spark, d, "trace_id", "text", "step_type", "tool_name", "step_index").filter("text is not null")
     first = F.min_by(F.struct("step_uid", "step_type", "tool_name"), F.struct("step_index", "step_uid"))
     return s.groupBy("trace_id").agg(first.alias("r")).select("trace_id", "r.step_uid", "r.step_type", "r.tool_name")
 
 
 def distinct_counts(spark, d):
-    return labels(spark, d).agg(F.count_distinct("action_label").alias("n_labels"), F.count_distinct("domain").alias("n_domains"), F.count_distinct("trace_id").alias("n_traces"))
+    return labels(spark, d, "action_label", "domain").agg(F.count_distinct("action_label").alias("n_labels"), F.count_distinct("domain").alias("n_domains"), F.count_distinct("trace_id").alias("n_traces"))
 
 
 def grouping_sets(spark, d):
     """Totals, per tool and per step type in one pass over the data."""
-    s = steps(spark, d).select("step_type", "tool_name", F.length("text").alias("len"))
+    s = steps(spark, d, "step_type", "tool_name", "text").select("step_type", "tool_name", F.length("text").alias("len"))
     # null tools are a group of their own, so groupings are told apart by grouping_id
     out = s.groupingSets([[], ["step_type"], ["tool_name"]], "step_type", "tool_name").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"))
     return out.select("step_type", "tool_name", "level", "n", "total_len")
@@ -110,7 +110,7 @@ def grouping_sets(spark, d):
 
 def step_features(spark, d):
     """Counts by type, tool flags, failure rate and lengths per trace, in one aggregation."""
-    s = steps(spark, d)
+    s = steps(spark, d, "trace_id", "step_type", "has_tool", "tool_name", "tool_call_result", "text")
     n = F.count(F.lit(1))
     flag = lambda c: F.sum(c.cast("int"))
     tool = (F.coalesce(F.col("has_tool"), F.lit(0)) == 1) | F.col("tool_name").isNotNull()
@@ -129,36 +129,36 @@ def step_features(spark, d):
 
 def inner_join_labels(spark, d):
     """Labelled, failing, not an ablation: filters reach both scans."""
-    lab = labels(spark, d).filter("needs_labeling = 1 and is_ablation = 0").select("trace_id", "domain", "problem_id")
-    t = traces(spark, d).filter("is_failing_trace = 1").select("trace_id", "num_steps")
+    lab = labels(spark, d, "domain", "problem_id", "needs_labeling", "is_ablation").filter("needs_labeling = 1 and is_ablation = 0").select("trace_id", "domain", "problem_id")
+    t = traces(spark, d, "num_steps", "is_failing_trace").filter("is_failing_trace = 1").select("trace_id", "num_steps")
     return lab.join(t, "trace_id")
 
 
 def left_join_best(spark, d):
     """All failing traces with one representative failed tool step, where there is one."""
-    best = steps(spark, d).filter("tool_call_result = 0").groupBy("trace_id").agg(F.min_by(F.struct("step_uid", "tool_name"), F.struct("step_index", "step_uid")).alias("b"))
-    return traces(spark, d).filter("is_failing_trace = 1").select("trace_id").join(best, "trace_id", "left").select("trace_id", F.col("b.step_uid").alias("step_uid"), F.col("b.tool_name").alias("tool_name"))
+    best = steps(spark, d, "trace_id", "tool_call_result", "tool_name", "step_index").filter("tool_call_result = 0").groupBy("trace_id").agg(F.min_by(F.struct("step_uid", "tool_name"), F.struct("step_index", "step_uid")).alias("b"))
+    return traces(spark, d, "is_failing_trace").filter("is_failing_trace = 1").select("trace_id").join(best, "trace_id", "left").select("trace_id", F.col("b.step_uid").alias("step_uid"), F.col("b.tool_name").alias("tool_name"))
 
 
 def nested_steps(spark, d):
     """1:N attach: the ordered step types of each trace; traces without steps have an empty text."""
-    s = steps(spark, d).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_uid", "step_type"))).alias("a"))
+    s = steps(spark, d, "trace_id", "step_index", "step_type").groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_uid", "step_type"))).alias("a"))
     joined = traces(spark, d).select("trace_id").join(s, "trace_id", "left")
     return joined.select("trace_id", F.coalesce(F.array_join(F.transform("a", lambda x: x["step_type"]), ">"), F.lit("")).alias("step_types"), F.coalesce(F.size("a"), F.lit(0)).alias("n_steps"))
 
 
 def semi_join_ids(spark, d):
-    return traces(spark, d).join(table(spark, d, "dev").select("trace_id"), "trace_id", "left_semi").select("trace_id", "domain")
+    return traces(spark, d, "domain").join(table(spark, d, "dev").select("trace_id"), "trace_id", "left_semi").select("trace_id", "domain")
 
 
 def anti_join_pending(spark, d):
     """Failing traces not yet labelled."""
-    return traces(spark, d).filter("is_failing_trace = 1").join(labels(spark, d).select("trace_id"), "trace_id", "left_anti").select("trace_id")
+    return traces(spark, d, "is_failing_trace").filter("is_failing_trace = 1").join(labels(spark, d).select("trace_id"), "trace_id", "left_anti").select("trace_id")
 
 
 def anti_join_pairs(spark, d):
     """(trace, action) pairs not yet done: every applicable action of a label less the ones recorded as llm or human actions."""
-    lab = labels(spark, d)
+    lab = labels(spark, d, "applicable_actions_json", "llm_1_action", "llm_2_action", "human_action")
     wanted = lab.select("trace_id", F.explode(F.from_json("applicable_actions_json", "array<string>")).alias("action"))
     done = lab.select("trace_id", F.explode(F.array("llm_1_action", "llm_2_action", "human_action")).alias("action")).filter("action is not null")
     return wanted.join(done, ["trace_id", "action"], "left_anti").groupBy("action").agg(F.count(F.lit(1)).alias("n_pending"))
@@ -167,12 +167,12 @@ def anti_join_pairs(spark, d):
 def lookup_override(spark, d):
     """Inner lookup against a frozen label table that overrides the stored label."""
     frozen = table(spark, d, "dev").filter("human_majority is not null").groupBy("trace_id").agg(F.min("human_majority").alias("frozen"))
-    return labels(spark, d).join(frozen, "trace_id").select("trace_id", "action_label", F.col("frozen").alias("label"), F.lit("dev").alias("split"))
+    return labels(spark, d, "action_label").join(frozen, "trace_id").select("trace_id", "action_label", F.col("frozen").alias("label"), F.lit("dev").alias("split"))
 
 
 def priority_merge(spark, d):
     """First source wins, the second fills, in key order; what neither has is marked."""
-    lab = labels(spark, d)
+    lab = labels(spark, d, "human_action", "llm_1_action")
     picked = F.coalesce(F.when(F.col("human_action").isNotNull(), F.struct(F.col("human_action").alias("action"), F.lit("human").alias("src"))), F.when(F.col("llm_1_action").isNotNull(), F.struct(F.col("llm_1_action").alias("action"), F.lit("llm").alias("src"))), F.struct(F.lit(None).cast("string").alias("action"), F.lit("none").alias("src")))
     return lab.select("trace_id", picked.alias("p")).select("trace_id", "p.action", "p.src")
 
@@ -182,15 +182,15 @@ def positional_join(spark, d):
     # a stated order over a table of labels; the rank is exact, from partition counts (windows.dense_ordinals)
     from failscope.operators.windows import ordinals
 
-    a = ordinals(labels(spark, d).select("trace_id", "action_label"), ["trace_id"])
+    a = ordinals(labels(spark, d, "action_label").select("trace_id", "action_label"), ["trace_id"])
     b = ordinals(table(spark, d, "dev").groupBy("trace_id").agg(F.min("human_majority").alias("human_majority")).withColumnRenamed("trace_id", "dev_id"), ["dev_id"])
     return a.join(b, "ordinal").select("ordinal", "trace_id", "dev_id", "human_majority")
 
 
 def split_union(spark, d):
     """UNION ALL of two label sets, duplicates kept, counted by source."""
-    human = labels(spark, d).filter("human_action is not null").select("trace_id", F.col("human_action").alias("label"), F.lit("human").alias("src"))
-    auto = labels(spark, d).filter("is_auto_labeled = 1").select("trace_id", F.lit("LOCAL_REPAIR").alias("label"), F.lit("auto").alias("src"))
+    human = labels(spark, d, "human_action", "is_auto_labeled").filter("human_action is not null").select("trace_id", F.col("human_action").alias("label"), F.lit("human").alias("src"))
+    auto = labels(spark, d, "human_action", "is_auto_labeled").filter("is_auto_labeled = 1").select("trace_id", F.lit("LOCAL_REPAIR").alias("label"), F.lit("auto").alias("src"))
     return human.unionByName(auto).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -203,8 +203,8 @@ def set_operations(spark, d):
 
 def run_children(spark, d):
     """Declared counts of a run against its stored children."""
-    kids = traces(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_found"), F.sum(F.coalesce(F.col("is_passing_trace"), F.lit(0))).alias("n_passing"))
-    return runs(spark, d).join(kids, "run_id", "left").filter("num_traces_stored is not null and n_found is distinct from num_traces_stored").select("run_id", "num_traces_stored", "n_found", "n_passing")
+    kids = traces(spark, d, "run_id", "is_passing_trace").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_found"), F.sum(F.coalesce(F.col("is_passing_trace"), F.lit(0))).alias("n_passing"))
+    return runs(spark, d, "num_traces_stored").join(kids, "run_id", "left").filter("num_traces_stored is not null and n_found is distinct from num_traces_stored").select("run_id", "num_traces_stored", "n_found", "n_passing")
 
 
 def segment_revenue(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from failscope.session import checkpointed, table
+from failscope.session import checkpointed, table, trim_all
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,13 +77,17 @@ def neighbourhood(spark_steps: DataFrame, is_centre, reach: int = 2) -> DataFram
 
 
 def pareto(df: DataFrame, name: str, gain: str, cost: str) -> DataFrame:
-    """Rows that no other row beats on both gain (more) and cost (less); for grouped metrics, one row a group.
+    """Rows that no other row beats on both gain (more) and cost (less).
 
-    The best gain of each cost meets the running best of lower costs: a sort instead of a theta join.
+    The best gain of each cost meets the best of all lower costs: a sort by range, the best of each stretch (one row a
+    partition), and running bests inside stretches, instead of a theta join or one task for all costs.
     """
     best = df.groupBy(cost).agg(F.max(gain).alias("s"))
-    lower = F.max("s").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    edge = best.withColumn("b", lower).filter(F.col("b").isNull() | (F.col("b") < F.col("s"))).select(cost, F.col("s").alias(gain))
+    placed = checkpointed(best.repartitionByRange(cost).withColumn("pid_", F.spark_partition_id()))
+    earlier = placed.groupBy("pid_").agg(F.max("s").alias("m_")).select("pid_", F.max("m_").over(Window.orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)).alias("e_"))  # one row a partition
+    local = F.max("s").over(Window.partitionBy("pid_").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    run = placed.withColumn("l_", local).join(F.broadcast(earlier), "pid_").withColumn("b", F.greatest("l_", "e_"))
+    edge = run.filter(F.col("b").isNull() | (F.col("b") < F.col("s"))).select(cost, F.col("s").alias(gain))
     return df.join(edge, [cost, gain]).select(name, cost, gain)
 
 
@@ -105,15 +109,33 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, rare:
     return out.withColumn("split", split).drop("n", "rk")
 
 
+def holdout_split(df: DataFrame, label: str, key: str, seed: int = 42, share: float = 0.2, rare: str = "ESCALATE", into: str = "RETRY") -> DataFrame:
+    """Train and test per label, a share of each held out in a seeded order. Where a label has a single row, `rare` counts as `into` for the split."""
+    single = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"))
+    group = F.when((F.col("least") < 2) & (F.col(label) == rare), into).otherwise(F.col(label))
+    hashed = df.crossJoin(F.broadcast(single)).withColumn("g_", group).drop("least").withColumn("h_", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))))  # one row
+    out = prefix_sums(hashed, ["g_"], ["h_", key], [])
+    return out.withColumn("split", F.when(F.col("k") <= F.bround(F.col("n") * share), "test").otherwise("train")).drop("g_", "h_", "k", "n")
+
+
+def resolved_splits(df: DataFrame, label: str, key: str, dev_in_train: bool = False) -> DataFrame:
+    """The stored split of each row where rows of all three splits are there, else a fresh holdout split; dev counts as train if wanted."""
+    name = F.lower(trim_all(F.col("split")))
+    frozen = df.withColumn("split", F.when(name == "validation", "dev").when(name.isin("train", "dev", "test"), name)).filter("split is not null")
+    if frozen.agg(F.count_distinct("split")).first()[0] < 3:
+        return holdout_split(df.drop("split"), label, key)
+    return frozen.withColumn("split", F.when(F.col("split") == "dev", "train").otherwise(F.col("split"))) if dev_in_train else frozen
+
+
 # queries over the run tables
 
 
 def _latest_labels(spark, d):
-    return last_wins(table(spark, d, "triage_labels"), ["trace_id"], ["ingested_at"])
+    return last_wins(table(spark, d, "triage_labels").select("trace_id", "domain", "action_label", "split", "ingested_at"), ["trace_id"], ["ingested_at"])
 
 
 def last_wins_traces(spark: SparkSession, d: str) -> DataFrame:
-    return last_wins(table(spark, d, "traces"), ["trace_id"], ["ingested_at"]).select("trace_id", F.unix_micros("ingested_at").alias("ingested_us"), "problem_id")
+    return last_wins(table(spark, d, "traces").select("trace_id", "problem_id", "ingested_at"), ["trace_id"], ["ingested_at"]).select("trace_id", F.unix_micros("ingested_at").alias("ingested_us"), "problem_id")
 
 
 def pilot_per_group(spark, d):
@@ -129,6 +151,15 @@ def split_by_label(spark, d):
     return stratified_split(_latest_labels(spark, d).filter("action_label is not null").select("trace_id", "action_label"), "action_label", "trace_id")
 
 
+def held_out(spark, d):
+    return holdout_split(_latest_labels(spark, d).filter("action_label is not null").select("trace_id", "action_label"), "action_label", "trace_id")
+
+
+def resolved_split_counts(spark, d):
+    rows = _latest_labels(spark, d).filter("action_label is not null").select("trace_id", "action_label", "split")
+    return resolved_splits(rows, "action_label", "trace_id", dev_in_train=True).groupBy("split", "action_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_label_counts(spark, d):
     s = split_by_label(spark, d)
     total = Window.partitionBy("split")
@@ -163,7 +194,7 @@ def scale_ranks(spark, d):
 
 
 def window_neighbourhood(spark, d):
-    s = last_wins(table(spark, d, "steps"), ["step_uid"], ["ingested_at"]).filter("step_id is not null")
+    s = last_wins(table(spark, d, "steps").select("step_uid", "trace_id", "step_id", "tool_call_result", "ingested_at"), ["step_uid"], ["ingested_at"]).filter("step_id is not null")
     return neighbourhood(s, F.col("tool_call_result") == 0).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_near"))
 
 
@@ -174,7 +205,7 @@ def cheapest_success(spark, d):
     return e.groupBy("user_id").agg(best.alias("b"), F.max("ok").alias("any_ok")).select("user_id", "b.event_id", "b.event_type", "any_ok")
 
 
-QUERIES = {f.__name__: f for f in (last_wins_traces, pilot_per_group, balanced_sample, split_by_label, split_label_counts, cost_curve, budget_gains, pareto_frontier, scale_ranks, window_neighbourhood, cheapest_success)}
+QUERIES = {f.__name__: f for f in (last_wins_traces, pilot_per_group, balanced_sample, split_by_label, held_out, resolved_split_counts, split_label_counts, cost_curve, budget_gains, pareto_frontier, scale_ranks, window_neighbourhood, cheapest_success)}
 
 _L = "with l as (select * from (select *, row_number() over (partition by trace_id order by ingested_at desc nulls last) rn_ from triage_labels) where rn_ = 1)"
 _SPLIT = _L + """, x as (select trace_id, action_label, count(*) over (partition by action_label) n, row_number() over (partition by action_label order by md5('42:' || trace_id), trace_id) rk from l where action_label is not null),
@@ -186,6 +217,9 @@ SQL = {
     "pilot_per_group": _L + "select domain, trace_id, rk from (select domain, trace_id, row_number() over (partition by domain order by trace_id) rk from l where domain is not null) where rk <= 10",
     "balanced_sample": _L + "select action_label, trace_id, rk from (select action_label, trace_id, row_number() over (partition by action_label order by md5('42:' || trace_id), trace_id) rk from l where action_label is not null) where rk <= 5",
     "split_by_label": _SPLIT + "select trace_id, action_label, split from y",
+    "held_out": _L + """, x as (select trace_id, action_label, case when (select min(c) from (select count(*) c from l where action_label is not null group by action_label)) < 2 and action_label = 'ESCALATE' then 'RETRY' else action_label end g from l where action_label is not null)
+      select trace_id, action_label, case when row_number() over (partition by g order by md5('42:' || trace_id), trace_id) <= round_even(count(*) over (partition by g) * 0.2, 0) then 'test' else 'train' end as split from x""",
+    "resolved_split_counts": _L + r""", x as (select action_label, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) s from l where action_label is not null) select case when s in ('train', 'dev', 'validation') then 'train' else s end as split, action_label, count(*) n from x where s in ('train', 'dev', 'validation', 'test') group by 1, 2""",
     "split_label_counts": _SPLIT + "select split, action_label, count(*) n, round(100.0 * count(*) / sum(count(*)) over (partition by split), 2)::double pct from y group by 1, 2",
     "cost_curve": _E + ", c as (select event_type, row_number() over w k, count(*) over (partition by event_type) n, sum(cost) over (w rows unbounded preceding) cum_cost, sum(gain) over (w rows unbounded preceding) cum_gain from e window w as (partition by event_type order by cost, event_id)) select event_type, k, round(cum_cost, 4) cum_cost, cast(cum_gain as bigint) cum_gain from c where (k - 1) % greatest(1, n // 50) = 0 or k = n",
     "budget_gains": _E + ", c as (select event_type, gain, sum(cost) over (partition by event_type order by cost, event_id rows unbounded preceding) cum from e), b as (select range * 250.0::double budget from range(1, 41)), g as (select distinct event_type from e) select g.event_type, b.budget::double budget, cast(coalesce(sum(c.gain), 0) as bigint) gain, count(c.gain) n_rows from g cross join b left join c on c.event_type = g.event_type and c.cum <= b.budget group by 1, 2",
