@@ -246,7 +246,8 @@ def _runs(spark, d):
     return r.select("run_id", "experiment_name", F.col("timestamp").alias("run_timestamp"), "model_used", F.col("num_problems_declared").alias("num_problems"), F.struct(F.col("stats_total").alias("total"), F.col("stats_accuracy").alias("accuracy")).alias("stats"))
 
 
-_RAW = [F.lit("tables").alias("source_file"), F.lit(0).cast("bigint").alias("ordinal")]
+def _raw() -> list[Column]:
+    return [F.lit("tables").alias("source_file"), F.lit(0).cast("bigint").alias("ordinal")]
 
 
 def trace_documents(spark, d) -> DataFrame:
@@ -275,7 +276,7 @@ def trace_documents(spark, d) -> DataFrame:
     trace = F.struct("problem_id", "timestamp", (F.col("success") == 1).alias("success"), "problem_statement", "gold_answer", "final_answer", F.struct("num_steps", "steps").alias("trace"), analysis.alias("analysis"), metrics.alias("metrics"))
     body = t.join(per, "trace_id", "left").withColumn("t", trace)
     side = lambda x: F.when(F.col("is_passing_trace") == x, F.array("t"))
-    return body.join(_runs(spark, d), "run_id").select(F.to_json(F.struct("run_id", "experiment_name", "model_used", side(1).alias("passing_traces"), side(0).alias("failing_traces"))).alias("doc"), *_RAW)
+    return body.join(_runs(spark, d), "run_id").select(F.to_json(F.struct("run_id", "experiment_name", "model_used", side(1).alias("passing_traces"), side(0).alias("failing_traces"))).alias("doc"), *_raw())
 
 
 def run_only_documents(spark, d) -> DataFrame:
@@ -283,7 +284,7 @@ def run_only_documents(spark, d) -> DataFrame:
     t, _ = _stored(spark, d)
     arr = lambda p: F.array_sort(F.collect_list(F.when(F.col("is_passing_trace") == p, F.struct("problem_id"))))
     g = t.groupBy("run_id").agg(arr(1).alias("passing_traces"), arr(0).alias("failing_traces"))
-    return _runs(spark, d).join(g, "run_id").select(F.to_json(F.struct("*")).alias("doc"), *_RAW)
+    return _runs(spark, d).join(g, "run_id").select(F.to_json(F.struct("*")).alias("doc"), *_raw())
 
 
 def _flat(spark, d):

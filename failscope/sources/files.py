@@ -64,9 +64,13 @@ def read_json_maps(spark: SparkSession, pattern: str, value: str = PREDICTION) -
     return last_wins(rows.select("trace_id", "v.*", "file"), ["trace_id"], ["file"]).drop("file")
 
 
-def latest(pattern: str) -> str | None:
-    """The last path of a glob in name order."""
-    found = sorted(str(p) for p in Path().glob(pattern)) if not os.path.isabs(pattern) else sorted(str(p) for p in Path("/").glob(pattern.lstrip("/")))
+def latest(pattern: str, spark: SparkSession | None = None) -> str | None:
+    """The last path of a glob in name order, on the file system of the pattern (on this machine without a session)."""
+    if spark is None:
+        found = sorted(str(p) for p in Path().glob(pattern)) if not os.path.isabs(pattern) else sorted(str(p) for p in Path("/").glob(pattern.lstrip("/")))
+        return found[-1] if found else None
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = sorted(s.getPath().toString() for s in (p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []))
     return found[-1] if found else None
 
 
@@ -98,14 +102,23 @@ def write_table(df: DataFrame, path: str, sort: list[str] | None = None) -> None
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[str]) -> None:
-    """Insert or replace by key: old and new rows in one last-wins aggregation, written beside the table and then renamed."""
-    both = new if not _exists(spark, path) else spark.read.parquet(path).unionByName(new)
-    last_wins(both, keys, order).write.mode("overwrite").parquet(path + ".next")
+    """Insert or replace by key: old and new rows in one last-wins aggregation.
+
+    The table is written beside the old one, which is moved aside and deleted only when the new one stands in
+    its place; a run that was killed between the two is put right by the next.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, nxt = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
-    fs = old.getFileSystem(conf)
+    at, nxt, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".next", ".old"))
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(old, at)
+    both = spark.read.parquet(path).unionByName(new) if fs.exists(at) else new
+    last_wins(both, keys, order).write.mode("overwrite").parquet(path + ".next")
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(nxt, at)
     fs.delete(old, True)
-    fs.rename(nxt, old)
 
 
 def sha256_of(path: str) -> str:

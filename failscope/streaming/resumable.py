@@ -16,21 +16,27 @@ def read_log(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str, errors: str | None = None, delay: str = "7 days"):
+def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str, errors: str | None = None):
     """Records of keys not seen before go to `target`; records with an error go to `errors` and don't count as seen.
 
-    State is bounded by the watermark; the query runs until its input is used up and can be started again.
+    A key that is done is skipped for ever: each micro-batch leaves out what earlier batches stored, and keeps the
+    earliest of its own rows. A batch writes a folder of its own number, so a batch that is repeated after a
+    failure replaces what it wrote. The query runs until its input is used up and can be started again.
     """
 
-    def split(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        batch.filter("error is null").write.mode("append").parquet(target)
+    def split(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        good = batch.filter("error is null")
+        rest = [c for c in good.columns if c not in keys]
+        one = good.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("ts", F.xxhash64(*rest))).alias("r")).select(*[F.col(k) for k in keys], "r.*").select(*good.columns)
+        if version:
+            done = spark.read.schema(good.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(target).withColumn("file_", F.input_file_name())
+            one = one.join(done.filter(~F.col("file_").contains(f"/batch={version}/")).select(*keys), keys, "left_anti")
+        one.write.mode("overwrite").parquet(f"{target}/batch={version}")
         if errors:
-            batch.filter("error is not null").write.mode("append").parquet(errors)
-        batch.unpersist()
+            batch.filter("error is not null").write.mode("overwrite").parquet(f"{errors}/batch={version}")
 
-    fresh = stream.withWatermark("ts", delay).withColumn("failed", F.col("error").isNotNull()).dropDuplicatesWithinWatermark([*keys, "failed"]).drop("failed")
-    return fresh.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_totals(stream: DataFrame, by: list[str]) -> DataFrame:

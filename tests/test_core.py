@@ -26,9 +26,9 @@ def test_verify_answer(spark, domain, gold, answer, ok):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("  abcdef ", "```python\nx=1\n```", " local_repiar / RETRY", "I would RETRIEVE_MORE, not RETRY", '```json\n{"action": "retry", "confidence": 1.7}\n```')], "a string, b string, c string, d string, e string")
+    df = spark.createDataFrame([("  abcdef ", "```python\nx=1\n```", " escelate / RETRY", "I would RETRIEVE_MORE, not RETRY", '```json\n{"action": "retry", "confidence": 1.7}\n```')], "a string, b string, c string, d string, e string")
     r = df.select(X.truncate(F.col("a"), 3, "~").alias("a"), X.code_block(F.col("b")).alias("b"), X.normal_label(F.col("c")).alias("c"), X.parse_action(F.col("d")).alias("d"), X.parse_prediction(F.col("e")).alias("e"), X.head_tail(F.col("a"), 4, marker="|").alias("h")).first()
-    assert (r.a, r.b, r.c, r.d, tuple(r.e), r.h) == ("abc~", "x=1\n", "LOCAL_REPAIR", "RETRIEVE_MORE", ("RETRY", 1.0), "  |f ")
+    assert (r.a, r.b, r.c, r.d, tuple(r.e), r.h) == ("abc~", "x=1", "ESCALATE", "RETRIEVE_MORE", ("RETRY", 1.0), "  |f ")
     pages = spark.createDataFrame([("<p>a<script>x<b>y</b></script> b &amp; c</p><style>z</style>",), (None,), ("",)], "p string")
     assert [x.t for x in pages.select(X.html_text("p").alias("t")).collect()] == ["a b & c", None, ""]
 
@@ -143,12 +143,16 @@ def test_entry_without_llm(monkeypatch):
 def test_full_trace_has_all_steps(spark):
     from failscope.functions import text
 
-    traces = spark.createDataFrame([("t", "D", "p1", "Q?", "4", "The end", 0), ("u", None, None, None, None, None, None)], "trace_id string, domain string, problem_id string, problem_statement string, gold_answer string, final_answer string, answer_exact_match int")
-    steps = spark.createDataFrame([("t", i, f"s{i:02}", i, "tool_call", f"text {i}", "web" if i else None, f"out {i}" if i else None, 1) for i in range(45)], "trace_id string, step_index int, step_uid string, step_id int, step_type string, text string, tool_name string, tool_output_json string, tool_call_result int")
-    got = {r.trace_id: r for r in text.text_views(traces, steps).collect()}
+    traces = spark.createDataFrame([("t", "D", "p1", "Q?", "4", "The end", 0), ("u", None, None, None, None, None, None)], "trace_id string, domain string, problem_id string, problem_statement string, gold_answer string, final_answer string, answer_exact_match int").withColumn("num_steps", F.lit(45))
+    steps = spark.createDataFrame([("t", i, f"s{i:02}", i, "tool_call", f"text {i}", "web" if i else None, f"out {i}" if i else None, 1) for i in range(45)], "trace_id string, step_index int, step_uid string, step_id int, step_type string, text string, tool_name string, tool_output_json string, tool_call_result int").withColumn("tool_args_json", F.lit(None).cast("string")).withColumn("has_tool", F.lit(0))
+    sus = spark.createDataFrame([("t", 40, 0.5, 1, 0, "why")], "trace_id string, step_id int, consensus_score double, is_repairable_step int, has_successful_repair int, final_critic_summary string")
+    got = {r.trace_id: r for r in text.text_views(traces, steps, sus).collect()}
     steps_of = "\n".join(f"[STEP {i}] type=tool_call" + (f" tool=web\n  text {i}\n  output: out {i}" if i else f"\n  text {i}") for i in range(45))
     assert got["t"].full_trace == f"[DOMAIN] D\n[PROBLEM] Q?\n{steps_of}\n[FINAL_ANSWER] The end"
     assert got["t"].verifier_feedback_only == "[DOMAIN] D\n[PROBLEM_ID] p1\n[GOLD_ANSWER] 4\n[AGENT_FINAL_ANSWER] The end\n[ANSWER_EXACT_MATCH] 0"
+    near = got["t"].causal_neighborhood.split("\n")
+    assert [x for x in near if x.startswith("[STEP")] == [f"[STEP {i}] type=tool_call tool=web" for i in range(38, 43)] and "[SUSPICIOUS_STEP] score=0.5 repairable=1 successful_repair=0" in near and "[CRITIC_SUMMARY] why" in near
+    assert got["u"].causal_neighborhood.endswith("unavailable") and "[TOOL_FAILURE_RATE] 0.0" in got["u"].trace_stats_only and "[NUM_TOOL_CALLS] 44.0" in got["t"].trace_stats_only
     assert got["u"].full_trace == "[DOMAIN] None\n[PROBLEM] None\n[FINAL_ANSWER] None"
 
 
@@ -160,3 +164,24 @@ def test_cross_domain_holds_out_every_domain(spark):
     spelt = [f"Domain {i:02}" for i in range(60)] + [f" domain-{i:02}" for i in range(60)] + [None, "?", "rare"]
     data = spark.createDataFrame([(x,) for x in spelt], "domain string").withColumn("domain", ml.domain_key(F.col("domain")))
     assert ml.held_out_domains(data, 2) == ["?"] + [f"domain{i:02}" for i in range(60)]
+
+
+def test_label_and_name_constants(spark):
+    """The three known slips wherever they stand, the spellings of domains, and the prefixes of ablations."""
+    df = spark.createDataFrame([("ESCELATE", "SealQA Hard", "ablation_nogold_mbpp"), ("repplan/retry", "medbrowse", "ablation_minimality_gsm8k"), ("Repan ", "humaneval", "ablation_style_x"), ("RETYR", "other", "gsm8k"), (None, "", None)], "a string, b string, c string")
+    got = [tuple(r) for r in df.select(X.normal_label(F.col("a")), X.domain_of(F.col("b")), X.benchmark_of(F.col("c")), X.ablation_of(F.col("c"))).collect()]
+    assert got == [("ESCALATE", "SealQA", "mbpp", "nogold"), ("REPLAN", "MedBrowseComp", "gsm8k", "minimality"), ("REPLAN", "Humaneval", "ablation_style_x", "style"), (None, "other", "gsm8k", None), (None, None, None, None)]
+
+
+def test_kappa_without_common_rows_is_zero(spark):
+    from failscope.operators import agreement
+
+    df = spark.createDataFrame([("g", "RETRY", None), ("g", None, "RETRY"), ("h", "RETRY", "RETRY")], "g string, a string, b string")
+    assert sorted((r.g, r.n, r.kappa) for r in agreement.kappa(df, ["g"], "a", "b").collect()) == [("g", 0, 0.0), ("h", 1, 1.0)]
+
+
+def test_word_pairs(spark):
+    from failscope.operators import ml
+
+    df = spark.createDataFrame([("Fix the tool",), ("a",), (None,)], "t string")
+    assert [r[0] for r in df.select(ml.terms(F.col("t"))).collect()] == [["fix", "the", "tool", "fix the", "the tool"], [], []]
