@@ -265,13 +265,17 @@ def trace_features() -> dict:
     return out | {f"tool_{t}": F.exists("a", is_("tool_name", t)).cast("double") for t in TOOLS}
 
 
-def with_steps(traces: DataFrame, steps: DataFrame) -> DataFrame:
+def with_steps(traces: DataFrame, steps: DataFrame, columns: tuple[str, ...] = ("step_id", "step_type", "text", "tool_name", "tool_args_json", "tool_output_json", "tool_call_result", "has_tool")) -> DataFrame:
     """`traces` with `a`, the steps of each in order (one trace's steps are the unit of every rendering); traces without steps have none."""
-    cols = ["step_index", "step_uid", "step_id", "step_type", "text", "tool_name", "tool_args_json", "tool_output_json", "tool_call_result", "has_tool"]
-    s = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("a"))
+    s = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_uid", *columns))).alias("a"))
     return traces.join(s, "trace_id", "left").withColumn("a", F.coalesce("a", F.array().cast(s.schema["a"].dataType)))
 
 
+def full_trace():
+    """Domain, problem, all steps of an ordered array `a`, and the final answer of a trace as text."""
+    return F.concat_ws("\n", _tagged(domain="domain", problem="problem_statement"), F.transform("a", lambda x: step_lines(x)), _tagged(final_answer="final_answer"))
+
+
 def _printed_double(c):
     """A double as Python prints it: whole numbers with one zero behind the point."""
     return F.when(c == F.floor(c), F.concat(c.cast("bigint").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
@@ -301,9 +305,8 @@ def text_views(traces: DataFrame, steps: DataFrame, consensus: DataFrame) -> Dat
     )
     features = trace_features()
     stats = F.concat_ws("\n", _tagged(domain="domain", num_steps="num_steps"), *[F.concat(F.lit(f"[{k.upper()}] "), _printed_double(features[k])) for k in sorted(features)])
-    full = F.concat_ws("\n", head, F.transform("a", lambda x: step_lines(x)), _tagged(final_answer="final_answer"))
     feedback = _tagged(domain="domain", problem_id="problem_id", gold_answer="gold_answer", agent_final_answer="final_answer", answer_exact_match="answer_exact_match")
-    return j.select("trace_id", full.alias("full_trace"), _tagged(final_answer="final_answer").alias("final_answer_only"), feedback.alias("verifier_feedback_only"), stats.alias("trace_stats_only"), around.alias("causal_neighborhood"))
+    return j.select("trace_id", full_trace().alias("full_trace"), _tagged(final_answer="final_answer").alias("final_answer_only"), feedback.alias("verifier_feedback_only"), stats.alias("trace_stats_only"), around.alias("causal_neighborhood"))
 
 
 @F.pandas_udf(T.StringType())
